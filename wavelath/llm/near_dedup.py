@@ -10,13 +10,15 @@ shingles with a bound for those it leaves out, then exact counts of what may
 exceed THETA.
 
 Each text gets SAMPLES consistent weighted samples, cut into BANDS. Texts that
-agree in a band are compared in rounds: with the band's first text; then, between
-components not yet joined, each with the best few of every other component; then
-all the rest between components. Samples that agree too rarely for a similarity
-of THRESHOLD drop a pair; every other pair is verified by its exact similarity,
-the greater of weighted Jaccard with and without the frequency factor, over
-whole texts. Pairs inside a component need no comparison, so a large group of
-copies costs one comparison a text, and none is left out by a cap.
+agree in a band, and in enough samples for a similarity of THRESHOLD, are of one
+family: each is tried with the band's first text, and what doesn't agree with
+that one, with all texts of the band, in tiles. Within a family pairs are
+verified by their exact similarity over whole texts, the greater of weighted
+Jaccard with and without the frequency factor, in tiles of bounded size that
+skip pairs already in one component and give only a spanning forest of the
+links. A family larger than a tile is verified against first texts beforehand,
+so that only texts outside its largest component meet the whole family. No cap
+leaves a pair out.
 
 Equal texts are one class from the start, by a 128-bit digest. null text: empty.
 Texts without words: a class with equal texts alone. null key: class null, kept.
@@ -26,7 +28,6 @@ other columns pass through dedup().
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,52 +37,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, staged, with_default
-from .tokens import KEPT
 
-WORDS = re.compile(r"[^ \t-\r]+").findall
 SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLES, BANDS = 48, 16
 ROWS = SAMPLES // BANDS
-#: Samples of a pair that must agree before it is verified: 4.5 standard deviations below the mean at THRESHOLD.
-AGREE = 26
+#: Samples of a pair that must agree before it is verified: 3.7 standard deviations below the mean at THRESHOLD.
+AGREE = 28
 #: Share of documents from which a shingle weighs less, and the least factor.
-THETA, FLOOR = 0.005, 0.8
+THETA, FLOOR = 0.01, 0.8
 #: Shingles that a task counts at once.
 SEGMENT = 1 << 22
-#: Texts of a bucket compared in one tile; partners a text tries in each other component before all.
-TILE, FEW = 1000, 4
+#: Signatures, and texts, of one side of a tile.
+TILE, TEXTS = 1000, 400
 #: Members of a group verified in one place against its first text.
 PART = 500
+#: Bytes hashed at once.
+SPAN = 1 << 22
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-_KNOWN: dict[str, int] = {}
+_ODD = 0x9E3779B97F4A7C15 | 1
+_TABLES: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_ODD)
     return x ^ (x >> np.uint64(29))
 
 
+def tables() -> list[np.ndarray]:
+    """Random words for bytes, powers of an odd number, and of its inverse modulo 2**64."""
+    if not _TABLES:
+        steps = [np.full(SPAN + 1, c, np.uint64) for c in (_ODD, pow(_ODD, -1, 1 << 64))]
+        for x in steps:
+            x[0] = 1
+        _TABLES.extend([np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64), *(np.multiply.accumulate(x) for x in steps)])
+    return _TABLES
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of raw bytes (at most SPAN): sums of byte values times powers, made free of their place."""
+    value, power, inverse = tables()
+    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    x = value[raw]
+    x *= power[: len(raw)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
+    return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)), start
+
+
+def hashed(raws: list[bytes]) -> list[np.ndarray]:
+    """Word hashes of each text; texts are hashed together up to SPAN bytes, longer ones in parts that end at a space."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+
+    def flush():
+        if group:
+            at = np.cumsum([0, *(len(g) + 1 for g in group)])
+            w, start = word_hashes(np.frombuffer(b" ".join(group) + b" ", np.uint8))
+            cut = np.searchsorted(start, at)
+            out.extend(w[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True))
+            group.clear()
+
+    size = 0
+    for raw in raws:
+        if len(raw) + 1 > SPAN:
+            flush()
+            size = 0
+            parts = []
+            while raw:
+                stop = len(raw) if len(raw) < SPAN else max(raw.rfind(c, 0, SPAN - 1) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1 or SPAN - 1
+                parts.append(word_hashes(np.frombuffer(raw[:stop], np.uint8))[0])
+                raw = raw[stop:]
+            out.append(np.concatenate(parts))
+            continue
+        if size + len(raw) + 1 > SPAN:
+            flush()
+            size = 0
+        group.append(raw)
+        size += len(raw) + 1
+    flush()
+    return out
+
+
 def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's distinct shingles, as ascending 64-bit hashes, and their counts."""
-    cut = [WORDS(t) for t in texts]
-    have = set().union(*cut)
-    new = have.difference(_KNOWN)
-    if len(_KNOWN) + len(new) > KEPT:
-        _KNOWN.clear()
-        new = have
-    _KNOWN.update((w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in new)
     out = []
-    for words in cut:
-        w = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    for w in hashed([t.encode("utf-8", "surrogatepass") for t in texts]):
         n = min(SHINGLE, len(w))
         h = np.zeros(len(w) - n + 1 if n else 0, np.uint64)
         for k in range(n):
-            h = h * np.uint64(0xD6E8FEB86659FD93) + w[k : len(w) - n + 1 + k]
-        h = np.sort(mix(h))
-        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        out.append((h[heads], np.diff(np.r_[heads, len(h)])))
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h += w[k : len(w) - n + 1 + k]
+        h = mix(h)
+        h.sort()
+        new = np.empty(len(h), bool)
+        new[:1] = True
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        if new.all():
+            out.append((h, np.ones(len(h), np.int64)))
+        else:
+            heads = np.flatnonzero(new)
+            out.append((h[heads], np.diff(np.append(heads, len(h)))))
     return out
 
 
@@ -112,34 +169,41 @@ def frequencies(docs: DataFrame) -> Idf:
 
     def heavy(batches):
         held: list[np.ndarray] = []
-        size = n = 0
+        spare: list[np.ndarray] = []
+        size = 0
 
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts > n * THETA / 4
+        def counted(part: list[np.ndarray]):
+            values, counts = np.unique(np.concatenate(part), return_counts=True)
+            n, size = len(part), sum(map(len, part))
+            keep = counts > int(n * THETA / 2)
             values, counts = values[keep], counts[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.r_[_signed(values), 0], np.r_[counts, 0], np.r_[np.full(len(values), n), n], np.r_[np.zeros(len(values), int), 1], np.r_[np.zeros(len(values), int), size])], ["h", "n", "docs", "total", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.r_[_signed(values), 0], np.r_[counts, 0], np.r_[np.full(len(values), n), n], np.r_[np.full(len(values), int(n * THETA / 2)), -1 - int(n * THETA / 2)], np.r_[np.zeros(len(values), int), size])], ["h", "n", "docs", "left", "size"])
 
         for b in batches:
-            for h, _ in shingles(with_default(b, "text")):
-                held.append(h)
-                size += len(h)
-                n += 1
+            own = [h for h, _ in shingles(with_default(b, "text"))]
+            # A segment is counted when as much again is held, so that the last one isn't small: small ones say little.
             if size >= SEGMENT:
-                yield from flush()
-                held, size, n = [], 0, 0
-        if n:
-            yield from flush()
-
-    seen = staged(docs.select("text").mapInArrow(heavy, "h long, n long, docs long, total long, size long"), "heavy")
-    total = seen.where("total = 1").agg(F.sum("docs"), F.sum("size")).first()
-    n_docs, n_shingles = total[0] or 0, total[1] or 0
+                spare.extend(held)
+                held, size = [], 0
+                if sum(map(len, spare)) >= 2 * SEGMENT:
+                    half = len(spare) // 2
+                    yield from counted(spare[:half])
+                    spare = spare[half:]
+            held += own
+            size += sum(map(len, own))
+        if spare or held:
+            yield from counted(spare + held)
+
+    seen = staged(docs.select("text").mapInArrow(heavy, "h long, n long, docs long, left long, size long"), "heavy")
+    # The row of a segment as a whole has left below 0: -1 less the most it may hold of a shingle it leaves out.
+    total = seen.where("left < 0").agg(F.sum("docs"), F.sum("size"), F.sum(-1 - F.col("left"))).first()
+    n_docs, n_shingles, n_left = (x or 0 for x in total)
     if not n_docs:
         return Idf()
-    # What a segment leaves out it holds at most THETA / 4 of its documents times.
-    sums = seen.where("total = 0").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    may = sums.where(F.col("n") + THETA / 4 * (n_docs - F.col("docs")) > THETA * n_docs)
-    bound = int(n_shingles / n_docs / (0.75 * THETA)) + 1
+    sums = seen.where("left >= 0").groupBy("h").agg(F.sum("n").alias("n"), F.sum("left").alias("left"))
+    may = sums.where(F.col("n") + n_left - F.col("left") > THETA * n_docs)
+    # All segments together leave out at most half of THETA, so such a shingle was counted over THETA / 2.
+    bound = int(n_shingles / n_docs / (THETA / 2)) + 1
     found = np.sort(np.array([r[0] for r in may.select("h").limit(bound + 1).collect()], np.int64).view(np.uint64))
     if len(found) > bound:
         raise AssertionError("more frequent shingles than there can be")
@@ -162,42 +226,56 @@ def frequencies(docs: DataFrame) -> Idf:
 
 
 class Sampler:
-    """Consistent weighted samples: r and c of the Gamma(2, 1) and b of the uniform distribution by hash of shingle and sample."""
+    """Improved consistent weighted samples: least ln a over a text's shingles, with r, c of Gamma(2, 1) and b uniform.
+
+    a of a shingle of weight 1 is exponential; it is drawn first, from a hash of
+    shingle and sample, and c, r and b are drawn given it: c = a + e, with -ln(a / c) =
+    r (1 - b) = x, and r = x + e', e and e' exponential. So where the weight is 1 the order of a
+    is the order of the hash, and only other weights need the rest.
+    """
 
     def __init__(self):
-        grid = (np.arange(1 << 16) + 0.5) / (1 << 16)
-        x = np.linspace(0, 30, 1 << 20)
-        gamma = np.interp(grid, 1 - (1 + x) * np.exp(-x), x)
-        self.r, self.ln_c, self.b = gamma.astype(np.float32), np.log(gamma).astype(np.float32), grid.astype(np.float32)
         seeds = np.random.default_rng(5)
         self.salt = seeds.integers(1, 1 << 63, SAMPLES, np.uint64)
         self.odd = seeds.integers(1, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
 
+    @staticmethod
+    def reweighed(x: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order (32 bits) and step t of samples with hash x and weight exp(ln_w)."""
+        unit = lambda v, bits: ((v & np.uint64((1 << bits) - 1)).astype(np.float64) + 0.5) / (1 << bits)
+        more = mix(x)
+        a = -np.log1p(-unit(x >> np.uint64(32), 32))
+        c = a - np.log(unit(more, 32))
+        part = np.log(c / a)
+        r = part - np.log(unit(more >> np.uint64(32), 32))
+        b = 1 - part / r
+        t = np.floor(ln_w / r + b)
+        ln_a = np.log(c) - r * (t - b) - r
+        return (-np.expm1(-np.exp(ln_a)) * (1 << 32)).astype(np.uint64), t.astype(np.int64)
+
     def block(self, h: np.ndarray, ln_w: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Samples (as 32-bit names) of the texts that start at heads: len(heads) x SAMPLES."""
-        low = h & np.uint64(0xFFFFFFFF)
+        low, high = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
+        name = h & low
         other = np.flatnonzero(ln_w)
         out = np.empty((len(heads), SAMPLES), np.uint32)
+        x, y = np.empty_like(h), np.empty_like(h)
         for k in range(SAMPLES):
-            x = (h ^ self.salt[k]) * self.odd[k]
-            x ^= x >> np.uint64(32)
+            np.bitwise_xor(h, self.salt[k], out=x)
+            x *= self.odd[k]
+            np.right_shift(x, np.uint64(32), out=y)
+            x ^= y
             x *= np.uint64(0xBF58476D1CE4E5B9)
-            r, b = self.r[(x >> np.uint64(32)) & np.uint64(0xFFFF)], self.b[(x >> np.uint64(16)) & np.uint64(0xFFFF)]
-            ln_c = self.ln_c[x >> np.uint64(48)]
-            # Weight 1: the step t is 0 and ln y = -r b.
-            ln_a = ln_c + r * b - r
-            name = low
+            np.bitwise_and(x, high, out=y)
+            y |= name
             if len(other):
-                t = np.floor(ln_w[other] / r[other] + b[other])
-                ln_a[other] = ln_c[other] - r[other] * (t - b[other]) - r[other]
-                name = low.copy()
-                name[other] = (low[other] + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-            # As 32 ordered bits before the name, so that one minimum finds both.
-            order = (ln_a + np.float32(64)).view(np.uint32).astype(np.uint64) << np.uint64(32)
-            out[:, k] = (np.minimum.reduceat(order | name, heads) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                order, t = self.reweighed(x[other], ln_w[other])
+                y[other] = np.minimum(order, low) << np.uint64(32) | (name[other] + t.astype(np.uint64) * np.uint64(0x9E3779B1)) & low
+            # The order stands before the name, so that one minimum finds both.
+            out[:, k] = np.minimum.reduceat(y, heads) & low
         return out
 
-    def signatures(self, texts: list[tuple[np.ndarray, np.ndarray]], idf: Idf, width: int = 1 << 14) -> list[np.ndarray | None]:
+    def signatures(self, texts: list[tuple[np.ndarray, np.ndarray]], idf: Idf, width: int = 1 << 15) -> list[np.ndarray | None]:
         """Samples of each text; None without shingles."""
         out: list[np.ndarray | None] = [None] * len(texts)
         group: list[int] = []
@@ -210,7 +288,7 @@ class Sampler:
                 h = np.concatenate([texts[g][0] for g in group])
                 n = np.concatenate([texts[g][1] for g in group])
                 heads = np.cumsum([0, *(len(texts[g][0]) for g in group[:-1])])
-                ln_w = np.log(n * idf.of(h)).astype(np.float32)
+                ln_w = np.log(n * idf.of(h))
                 for g, s in zip(group, self.block(h, ln_w, heads), strict=True):
                     out[g] = s
                 group, size = [], 0
@@ -296,41 +374,102 @@ def grouped(batches, keys: list[str], columns: list[str]) -> Iterator[dict[str,
         yield held
 
 
-def across(members: DataFrame, few: int | None) -> DataFrame:
-    """Pairs (a, b) of texts in a bucket, of different components, whose samples agree often enough.
+class Sets:
+    """Union-find over the places 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def tiled(members: DataFrame, size: int, carry: list[str]) -> DataFrame:
+    """Tiles for groups with texts of more than one part: those outside the group's largest part against all.
 
-    members: bucket, id, comp, sig. few: each text's best so many in every other
-    component; None: all. Buckets are parted into tiles of at most 2 * TILE texts.
+    members: grp, id, comp and carry. Rows out: grp, p, q, left, right (whether a
+    row is of the tile's left or right side), id, comp and carry, sorted by tile. A
+    side holds about size rows at most.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").selectExpr("bucket", f"cast(ceil(size / {TILE}) as int) as parts")
-    rows = members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).selectExpr("bucket", "least(part, other) as p", "greatest(part, other) as q", "part", "id", "comp", "sig")
-    tiles = tiles.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "id")
+    parts = members.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    main = main.selectExpr("grp", "m.comp as main", f"cast(ceil(n / {size}) as int) as ps", f"cast(ceil((n - m.n) / {size}) as int) as qs")
+    rows = members.join(main, "grp").withColumn("p", F.pmod(F.xxhash64("id"), F.col("ps")).cast("int")).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qs")).cast("int"))
+    outside = F.col("comp") != F.col("main")
+    right = F.transform(F.expr("sequence(0, qs - 1)"), lambda q: F.struct(F.col("p").alias("p"), q.alias("q"), (outside & (q == F.col("q"))).alias("left"), F.lit(True).alias("right")))
+    left = F.filter(F.transform(F.expr("sequence(0, ps - 1)"), lambda p: F.struct(p.alias("p"), F.col("q").alias("q"), F.lit(True).alias("left"), F.lit(False).alias("right"))), lambda t: t["p"] != F.col("p"))
+    none = F.array().cast("array<struct<p:int,q:int,left:boolean,right:boolean>>")
+    tiles = rows.withColumn("t", F.explode(F.concat(right, F.when(outside, left).otherwise(none)))).select("grp", "t.*", "id", "comp", *carry)
+    return tiles
+
+
+def sorted_tiles(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "id")
+
+
+def kin(members: DataFrame) -> DataFrame:
+    """Spanning edges (a, b) of agreement between texts of a bucket that are not yet of one family: grp, id, comp, sig."""
 
     def run(batches):
-        for g in grouped(batches, ["bucket", "p", "q"], ["p", "q", "part", "id", "comp", "sig"]):
-            ids, comp, part = np.array(g["id"]), np.array(g["comp"]), np.array(g["part"])
+        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "id", "comp", "sig"]):
+            ids = np.array(g["id"])
             sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SAMPLES)
-            left = np.flatnonzero(part == g["p"][0])
-            right = np.flatnonzero(part == g["q"][0])
-            if len(set(g["comp"])) < 2:
+            left, right = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
+            sets, first, out = Sets(len(ids)), {}, []
+            for k, c in enumerate(g["comp"]):
+                sets.join(first.setdefault(c, k), k)
+            if len(first) < 2:
                 continue
-            out_a, out_b = [], []
-            for i in left:
-                score = agreeing(sig[right], sig[i])
-                fit = np.flatnonzero((score >= AGREE) & (comp[right] != comp[i]))
-                if few is not None and len(fit) > few:
-                    fit = fit[np.lexsort((ids[right[fit]], -score[fit], comp[right[fit]]))]
-                    c = comp[right[fit]]
-                    start = np.maximum.accumulate(np.where(np.r_[True, c[1:] != c[:-1]], np.arange(len(c)), 0))
-                    fit = fit[np.arange(len(c)) - start < few]
-                out_a += [ids[i]] * len(fit)
-                out_b += ids[right[fit]].tolist()
-            if out_a:
-                a, b = np.array(out_a), np.array(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+            for i in left.tolist():
+                for j in right[agreeing(sig[right], sig[i]) >= AGREE].tolist():
+                    if sets.join(i, j):
+                        out.append((ids[i], ids[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return sorted_tiles(tiled(members, TILE, ["sig"])).mapInArrow(run, "a long, b long")
+
+
+def exact(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Spanning edges (a, b) of verified links between a family's texts that are not yet of one component: grp, id, comp, sig."""
+    tiles = sorted_tiles(tiled(members, TEXTS, ["sig"]).join(texts.withColumnRenamed("doc_id", "id"), "id"))
+
+    def run(batches):
+        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "id", "comp", "sig", "text"]):
+            out = links_in(g, idf.value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def links_in(g: dict[str, list], idf: Idf) -> list[tuple[int, int]]:
+    """Spanning edges of the links between the left and the right rows of a tile."""
+    ids, own = g["id"], shingles([t or "" for t in g["text"]])
+    sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SAMPLES)
+    left, right = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
+    sets, first, out = Sets(len(ids)), {}, []
+    for k, c in enumerate(g["comp"]):
+        sets.join(first.setdefault((c, ids[k]) if c is None else c, k), k)
+    sizes = np.array([n.sum() for _, n in own])
+    for i in left.tolist():
+        near = right[agreeing(sig[right], sig[i]) >= AGREE]
+        near = near[(np.minimum(sizes[near], sizes[i]) >= THRESHOLD * FLOOR * np.maximum(sizes[near], sizes[i]))]
+        # Likeliest first: once two texts are in one component, no further pair of theirs is compared.
+        for j in near[np.argsort(-agreeing(sig[near], sig[i]), kind="stable")].tolist():
+            if sets.find(i) != sets.find(j) and similarity(own[i], own[j], idf) >= THRESHOLD:
+                sets.join(i, j)
+                out.append((ids[i], ids[j]))
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -359,6 +498,11 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def in_parts(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (id) with comp, their component, or themselves."""
+    return rows.join(label.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, class_id (the least doc_id of its group), kept of each row of docs."""
     spark = docs.sparkSession
@@ -368,24 +512,28 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     signed = staged(signed_texts(rows, idf), "signed")
     given = signed.where("doc_id is not null")
     reps = staged(given.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("m")).select("t1", "t2", "m.*"), "reps")
-    buckets = reps.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), "sig")
-    first = buckets.groupBy("bucket").agg(F.min(F.struct("id", "sig")).alias("m"), F.count("*").alias("n")).where("n > 1").selectExpr("bucket", "m.id as a", "m.sig as sig_a")
+    buckets = reps.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    first = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     shared = staged(buckets.join(first, "bucket"), "buckets")
-    texts = rows.where("doc_id is not null").select("doc_id", "text")
-    tried = staged(likely(shared.where("id <> a").selectExpr("a", "id as b", "sig_a", "sig as sig_b").dropDuplicates(["a", "b"])), "pairs")
-    # A repeated key gives its texts more than once: the pairs found are made distinct.
-    found = staged(verified(tried, texts, idf).distinct(), "found")
-    label = components(found)
-    for few in (FEW, None):
-        members = shared.join(label.withColumnRenamed("component", "comp"), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), "sig")
-        more = staged(across(members, few).join(tried.selectExpr("least(a, b) as a", "greatest(a, b) as b"), ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        new = staged(verified(more, texts, idf).distinct(), "found")
-        tried = tried.unionByName(more)
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            label = components(found)
+    sigs = reps.where("sig is not null").select(F.col("doc_id").alias("id"), "sig")
+    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = pairs.join(sigs.selectExpr("id as a", "sig as sig_a"), "a").join(sigs.selectExpr("id as b", "sig as sig_b"), "b")
+    tried = staged(likely(pairs), "pairs")
+    # A bucket of which all texts are of one family already has no pair to add; samples go to the others alone.
+    sides = in_parts(shared.select(F.col("bucket").alias("grp"), "id"), components(tried))
+    open_ = sides.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
+    sides = sides.join(open_, "grp").join(sigs, "id")
+    more = kin(sides)
+    # Texts of families alone are kept, at the cost of one shuffle. There may be too many for a broadcast, so none is tried.
+    families = components(tried.unionByName(staged(more.distinct(), "pairs")))
+    members = staged(families.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").withColumnRenamed("component", "grp"), "members")
+    texts = staged(rows.where("doc_id is not null").join(members.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    large = members.groupBy("grp").count().where(F.col("count") > TEXTS).select("grp")
+    # In a large family first texts are tried alone, so that few of its texts have to meet all others.
+    ahead = tried.join(members.join(large, "grp", "left_semi").selectExpr("id as b"), "b", "left_semi").select("a", "b")
+    found = staged(verified(ahead, texts, idf).distinct(), "found")
+    rest = exact(in_parts(members, components(found)), texts, idf)
+    label = components(found.unionByName(staged(rest.distinct(), "found")))
     known = reps.select("t1", "t2", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("t1", "t2", F.coalesce("component", "doc_id").alias("class_id"))
     out = given.select("doc_id", "t1", "t2").join(known, ["t1", "t2"], "left").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return out.unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
