@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, staged, with_default
+from .spans import SPAN, hashes, joined, mix, words
+from .spans import grouped as grouped_texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -52,71 +54,25 @@ SEGMENT = 1 << 22
 TILE, TEXTS = 1000, 400
 #: Members of a group verified in one place against its first text.
 PART = 500
-#: Bytes hashed at once.
-SPAN = 1 << 22
-
-_ODD = 0x9E3779B97F4A7C15 | 1
-_TABLES: list[np.ndarray] = []
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(_ODD)
-    return x ^ (x >> np.uint64(29))
-
-
-def tables() -> list[np.ndarray]:
-    """Random words for bytes, powers of an odd number, and of its inverse modulo 2**64."""
-    if not _TABLES:
-        steps = [np.full(SPAN + 1, c, np.uint64) for c in (_ODD, pow(_ODD, -1, 1 << 64))]
-        for x in steps:
-            x[0] = 1
-        _TABLES.extend([np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64), *(np.multiply.accumulate(x) for x in steps)])
-    return _TABLES
-
-
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of raw bytes (at most SPAN): sums of byte values times powers, made free of their place."""
-    value, power, inverse = tables()
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    x = value[raw]
-    x *= power[: len(raw)]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
-    return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64)), start
 
 
 def hashed(raws: list[bytes]) -> list[np.ndarray]:
     """Word hashes of each text; texts are hashed together up to SPAN bytes, longer ones in parts that end at a space."""
     out: list[np.ndarray] = []
-    group: list[bytes] = []
-
-    def flush():
-        if group:
-            at = np.cumsum([0, *(len(g) + 1 for g in group)])
-            w, start = word_hashes(np.frombuffer(b" ".join(group) + b" ", np.uint8))
-            cut = np.searchsorted(start, at)
-            out.extend(w[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True))
-            group.clear()
-
-    size = 0
-    for raw in raws:
-        if len(raw) + 1 > SPAN:
-            flush()
-            size = 0
-            parts = []
+    for group in grouped_texts(raws):
+        if len(raws[group[0]]) >= SPAN:
+            raw, parts = raws[group[0]], []
             while raw:
                 stop = len(raw) if len(raw) < SPAN else max(raw.rfind(c, 0, SPAN - 1) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1 or SPAN - 1
-                parts.append(word_hashes(np.frombuffer(raw[:stop], np.uint8))[0])
+                part = np.frombuffer(raw[:stop], np.uint8)
+                parts.append(hashes(part, *words(part)))
                 raw = raw[stop:]
             out.append(np.concatenate(parts))
             continue
-        if size + len(raw) + 1 > SPAN:
-            flush()
-            size = 0
-        group.append(raw)
-        size += len(raw) + 1
-    flush()
+        raw, ends = joined([raws[k] for k in group])
+        start, stop = words(raw)
+        w, cut = hashes(raw, start, stop), np.searchsorted(start, ends)
+        out += [w[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)]
     return out
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, with_default
-from .tokens import WORD_PIECE, encoder
+from .tokens import encoder
 
 HEAD = struct.Struct("<4s4IQ")
 MAGIC = b"RPZ1"
@@ -165,7 +165,7 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = 2, base: int = 49408
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches):
-        enc, part, shard = encoder(path, WORD_PIECE), TaskContext.get().partitionId(), 0
+        enc, part, shard = encoder(path, words=True), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
         keys: list = []
         ids: list[np.ndarray] = []

@@ -12,6 +12,7 @@ and text are read, so further columns, whatever their names, don't matter.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import small_batches, with_default
-from .tokens import BYTE_PIECE, KEPT, WHITE
+from . import spans
+from .tokens import RARE, WHITE
 
 #: The byte-level pre-tokenizer's pattern (fixed value, from the vocabulary files' own description).
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -49,8 +51,11 @@ class Merges:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.made = keys[order], order.astype(np.int64), made
-        self.pieces: dict[str, int] = {}
-        self.split = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
+        self.special_of = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        self.table = spans.Table(self._learn, self._forget)
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or the number of merges where a pair has none."""
@@ -85,22 +90,39 @@ class Merges:
             row, sym = row[stay], sym[stay]
         return out
 
-    def learn(self, pieces: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
+        self.known = np.concatenate([self.known, self.pieces([p.decode("utf-8", "surrogatepass") for p in new])])
+
+    def pieces(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of each piece, of any length and white space."""
         words = [PATTERN.findall(p) for p in pieces]
-        flat = sorted({w for x in words for w in x})
-        count = dict(zip(flat, self.counts(flat).tolist(), strict=True)) if flat else {}
-        self.pieces.update((p, sum(map(count.__getitem__, x))) for p, x in zip(pieces, words, strict=True))
+        number: dict[str, int] = {}
+        flat = np.array([number.setdefault(w, len(number)) for x in words for w in x], np.int64)
+        ends = np.cumsum([len(x) for x in words])
+        sums = np.concatenate([[0], np.cumsum(self.counts(list(number))[flat])]) if number else np.zeros(1, np.int64)
+        return np.diff(sums[ends], prepend=0)
 
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special string counts as one, and cuts the text before all else."""
-        spans = [self.split.split(t) if self.special and any(s in t for s in self.special) else (t,) for t in texts]
-        cut = [[p for span in x for p in BYTE_PIECE.findall(span)] for x in spans]
-        new = list(set().union(*map(set, cut)).difference(self.pieces)) if cut else []
-        if len(self.pieces) + len(new) > KEPT:
-            self.pieces.clear()
-            new = list(set().union(*map(set, cut)))
-        self.learn(new)
-        return [sum(map(self.pieces.__getitem__, x)) + len(s) - 1 for x, s in zip(cut, spans, strict=True)]
+        parts, owner = [], []
+        out = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            own = self.special_of.split(t) if self.special else [t]
+            out[k] = len(own) - 1
+            parts += own
+            owner += [k] * len(own)
+        raws = [p.encode("utf-8", "surrogatepass") for p in parts]
+        whole = {k for k, p in enumerate(parts) if len(raws[k]) >= spans.SPAN or RARE.search(p)}
+        for k in whole:
+            out[owner[k]] += self.pieces([parts[k]])[0]
+        plain = [k for k in range(len(parts)) if k not in whole]
+        for group in spans.grouped([raws[k] for k in plain]):
+            raw, ends = spans.joined([raws[plain[k]] for k in group])
+            start, stop = spans.pieces(raw)
+            numbers = self.table.numbers(raw, start, stop)
+            sums = np.concatenate([[0], np.cumsum(self.known[numbers])])[np.searchsorted(start, ends)]
+            np.add.at(out, [owner[plain[k]] for k in group], np.diff(sums, prepend=0))
+        return out.tolist()
 
 
 _MERGES: dict[str, Merges] = {}
