@@ -125,6 +125,8 @@ class Mix:
         start = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         rows = self.draws().withColumn("start", start)
         n = F.element_at(literals(self.blocks, "long"), F.col("s") + 1)
+        # A row becomes thousands of slots: the rows are dealt anew, or they would grow in as many tasks as there are sources.
+        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "s")
         rows = rows.withColumn("blocks", n).select("shard", "s", "blocks", F.explode(F.expr("sequence(start, start + n - 1)")).alias("slot"))
         rows = rows.where(F.col("slot") < F.col("blocks") * REPEATS)
         turn = F.expr("slot div blocks")
@@ -135,8 +137,11 @@ class Mix:
         return rows.select("shard", "s", "slot", block.alias("block"))
 
     def uses(self) -> DataFrame:
-        """__s, __block, __uses of the blocks that the mix takes."""
-        return self.slots().groupBy(F.col("s").alias("__s"), F.col("block").alias("__block")).agg(F.count("*").alias("__uses"))
+        """__s, __block, __uses of the blocks that the mix takes.
+
+        Its size grows with the mix but can't be foreseen from the few shards it is made of, so a broadcast is ruled out.
+        """
+        return self.slots().groupBy(F.col("s").alias("__s"), F.col("block").alias("__block")).agg(F.count("*").alias("__uses")).hint("merge")
 
     def report(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""
