@@ -126,8 +126,9 @@ m as (
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols
   from d),
-win as (select r, unnest(range(1, len(w) - 3)) as i, w from m where len(w) >= 5),
-hot as (select r, i from (select r, i, count(*) over (partition by r, array_to_string(list_slice(w, i, i + 4), ' ')) as n from win) where n > 1),
+x5 as (select r, unnest(w) as x, generate_subscripts(w, 1) as i from m),
+win as (select r, i, x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' ' || lead(x, 4) over o as five from x5 window o as (partition by r order by i)),
+hot as (select r, i from (select r, i, count(*) over (partition by r, five) as n from win where five is not null) where n > 1),
 rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5)) as p from hot) group by r),
 x as (
   select m.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, n_symbols::bigint as n_symbols,
