@@ -21,9 +21,22 @@ def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x).ravel()))
 
 
+#: Numbers in an Arrow batch of frames.
+BATCH = 1 << 21
+
+
+def bounded(frames: DataFrame, size: int) -> None:
+    """Lowers the session's rows per Arrow batch where frames are long, so that a batch stays within tens of MB."""
+    conf, key = frames.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = max(1, BATCH // max(1, size))
+    if not 0 < int(conf.get(key, "10000")) <= most:
+        conf.set(key, str(most))
+
+
 def _run(frames: DataFrame, size: int, kernel, out: list[str], dtype: str) -> DataFrame:
     kind = float_type(dtype)
     name = "float" if kind is np.float32 else "double"
+    bounded(frames, size)
 
     def run(batches):
         for b in batches:
