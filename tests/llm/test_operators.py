@@ -224,7 +224,7 @@ def test_quality_model(spark, odd, empty):
 
 def test_gradients_and_chunks():
     net = quality_model.fresh()
-    net.embed, net.filters, net.bias, net.out, net.offset = (a.astype(np.float64) for a in net.arrays())
+    net = quality_model.Network(*(a.astype(np.float64) for a in net.arrays()))
     net.bias += 0.3
     raw = quality_model.padded("some text, *** with 123 symbols " * 40)
     got = quality_model.gradients(net, raw, 1)
@@ -240,8 +240,8 @@ def test_gradients_and_chunks():
     long = quality_model.padded(LONG)
     r = quality_model.responses(net, long)
     whole = np.stack([r[s : s + quality_model.CHUNK].max(0) for s in quality_model.chunks(len(r))])
-    m = np.maximum(whole + net.bias, 0)
-    assert np.allclose(quality_model.features(net, long), np.r_[m.max(0), m.mean(0)])
+    h = np.maximum(quality_model.inputs(np.maximum(whole + net.bias, 0), len(r)) @ net.inner + net.inner_bias, 0)
+    assert np.allclose(quality_model.features(net, long), np.r_[h.max(0), h.mean(0)])
 
 
 def jaccard(a, b):

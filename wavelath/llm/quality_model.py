@@ -2,10 +2,10 @@
 
 Bytes are embedded, filters of WIDTH bytes run over the text at every STRIDE-th
 byte, and overlapping chunks that cover the whole text pool each filter's
-rectified response by its maximum. A document's features are the greatest and
-the mean of its chunks' maxima; a logistic unit combines them into one
-probability. Embedding, filters and combination are learned here by Adam on a
-bounded sample: at most about SAMPLE labelled documents, chosen by a hash of
+rectified response by its maximum. A hidden layer reads a chunk's maxima and how
+full the chunk is; a document's features are the greatest and the mean of the hidden units over
+its chunks, which a logistic unit combines into one probability. All layers
+are learned here by Adam on a bounded sample: at most about SAMPLE labelled documents, chosen by a hash of
 their key. Scores read every byte of every text.
 
 null or empty text: one chunk of padding, so a score like any other. Documents
@@ -26,11 +26,11 @@ from .common import small_batches, with_default
 from .lang_id import fold_of
 
 #: Labelled documents to learn from, on average at most.
-SAMPLE = 1600
-DIM, WIDTH, STRIDE, FILTERS = 6, 8, 2, 16
+SAMPLE = 4000
+DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 20, 16
 #: Filter positions in a chunk, and how far the next chunk starts.
 CHUNK, STEP = 256, 224
-EPOCHS, BATCH, RATE, DECAY = 10, 16, 0.01, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 8, 16, 0.01, 1e-3
 PAD = 0
 #: Bytes of a batch of texts scored at once.
 AT_ONCE = 1 << 18
@@ -41,17 +41,20 @@ class Network:
     embed: np.ndarray  # 256 x DIM
     filters: np.ndarray  # WIDTH * DIM x FILTERS
     bias: np.ndarray  # FILTERS
-    out: np.ndarray  # 2 * FILTERS
+    inner: np.ndarray  # FILTERS + 1 x HIDDEN
+    inner_bias: np.ndarray  # HIDDEN
+    out: np.ndarray  # 2 * HIDDEN
     offset: np.ndarray  # 1
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.filters, self.bias, self.out, self.offset]
+        return [self.embed, self.filters, self.bias, self.inner, self.inner_bias, self.out, self.offset]
 
 
 def fresh(seed: int = 11) -> Network:
     r = np.random.default_rng(seed)
     f = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
-    return Network(f(256, DIM, scale=0.5), f(WIDTH * DIM, FILTERS, scale=(WIDTH * DIM) ** -0.5), np.zeros(FILTERS, np.float32), f(2 * FILTERS, scale=0.1), np.zeros(1, np.float32))
+    none = lambda n: np.zeros(n, np.float32)
+    return Network(f(256, DIM, scale=0.5), f(WIDTH * DIM, FILTERS, scale=(WIDTH * DIM) ** -0.5), none(FILTERS), f(FILTERS + 1, HIDDEN, scale=(FILTERS / 2) ** -0.5), none(HIDDEN), f(2 * HIDDEN, scale=0.2), none(1))
 
 
 def padded(text: str) -> np.ndarray:
@@ -84,16 +87,22 @@ def pooled(r: np.ndarray) -> np.ndarray:
     return blocks
 
 
+def inputs(maxima: np.ndarray, positions: int) -> np.ndarray:
+    """What the hidden layer reads of each chunk."""
+    fill = np.minimum(CHUNK, positions - chunks(positions)) / CHUNK
+    return np.concatenate([maxima, fill[:, None].astype(maxima.dtype)], 1)
+
+
 def features(net: Network, raw: np.ndarray) -> np.ndarray:
-    """Greatest and mean chunk maximum of each filter; long texts go through in pieces of whole chunks."""
+    """Greatest and mean of each hidden unit; long texts go through in pieces of whole chunks."""
     positions = (len(raw) - WIDTH) // STRIDE + 1
     span = AT_ONCE // STEP // STRIDE * STEP
     best = []
     for at in range(0, max(1, positions - (CHUNK - STEP)), span):
         part = raw[at * STRIDE : (min(positions, at + span + CHUNK - STEP) - 1) * STRIDE + WIDTH]
         best.append(pooled(responses(net, part)))
-    m = np.maximum(np.concatenate(best) + net.bias, 0)
-    return np.concatenate([m.max(0), m.mean(0)])
+    h = np.maximum(inputs(np.maximum(np.concatenate(best) + net.bias, 0), positions) @ net.inner + net.inner_bias, 0)
+    return np.concatenate([h.max(0), h.mean(0)])
 
 
 def sigmoid(x):
@@ -111,21 +120,22 @@ def gradients(net: Network, raw: np.ndarray, label: int) -> list[np.ndarray]:
     where = np.stack([s + r[s : s + CHUNK].argmax(0) for s in starts])
     cols = np.arange(FILTERS)
     top = r[where, cols] + net.bias
-    m = np.maximum(top, 0)
-    first = m.argmax(0)
-    feats = np.concatenate([m.max(0), m.mean(0)])
+    z = inputs(np.maximum(top, 0), len(r))
+    h = np.maximum(z @ net.inner + net.inner_bias, 0)
+    feats = np.concatenate([h.max(0), h.mean(0)])
     d = sigmoid(feats @ net.out + net.offset[0]) - label
-    g_m = np.repeat((d * net.out[FILTERS:] / len(starts))[None], len(starts), 0)
-    g_m[first, cols] += d * net.out[:FILTERS]
-    g_m *= top > 0
+    g_h = np.repeat((d * net.out[HIDDEN:] / len(starts))[None], len(starts), 0)
+    g_h[h.argmax(0), np.arange(HIDDEN)] += d * net.out[:HIDDEN]
+    g_h *= h > 0
+    g_m = (g_h @ net.inner[:-1].T) * (top > 0)
     k, f = np.nonzero(g_m)
     g, at = g_m[k, f], where[k, f] * STRIDE
     seen = raw[at[:, None] + np.arange(WIDTH)]
     g_filters, g_embed, g_bias = np.zeros_like(net.filters), np.zeros_like(net.embed), np.zeros_like(net.bias)
-    np.add.at(g_filters.T, f, g[:, None] * net.embed[seen].reshape(len(at), -1))
+    np.add.at(g_filters.T, f, g[:, None] * net.embed[seen].reshape(len(at), WIDTH * DIM))
     np.add.at(g_embed, seen.ravel(), (g[:, None] * net.filters.T[f]).reshape(-1, DIM))
     np.add.at(g_bias, f, g)
-    return [g_embed, g_filters, g_bias, (d * feats).astype(np.float32), np.array([d], np.float32)]
+    return [g_embed, g_filters, g_bias, z.T @ g_h, g_h.sum(0), (d * feats).astype(np.float32), np.array([d], np.float32)]
 
 
 def train(rows: list[tuple[str, int]], seed: int = 11) -> Network:
