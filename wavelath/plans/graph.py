@@ -14,7 +14,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import packets as P
 from ..functions.convert import FLOATS
 from ..operators import framing, histogram, sinks, smoothing, spectral
 
