@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +39,6 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def column(batch: pa.RecordBatch, name: str, values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, type=kind)
-
-
 def with_default(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null becomes the empty string."""
     return [x or "" for x in batch.column(name).to_pylist()]
