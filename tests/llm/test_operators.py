@@ -345,6 +345,14 @@ def test_embeddings_match_sql(spark):
     assert embedding_dedup.links(vectors(spark, [])).count() == 0
 
 
+def test_axes_are_principal(spark):
+    x = np.random.default_rng(6).standard_normal((90, 5)) * [3, 1, 2, 0.5, 1]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turn = embedding_dedup.axes(spark.createDataFrame([(v.tolist(),) for v in x] + [([1.0, 2.0],)], "v array<double>").repartition(4))
+    values = np.linalg.eigvalsh(u.T @ u)[::-1]
+    assert set(turn) == {2, 5} and np.allclose(turn[5].T @ (u.T @ u) @ turn[5], np.diag(values))
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(k, k + 1) for k in range(200)] + [(1000 + r.randrange(300), 1000 + r.randrange(300)) for _ in range(200)] + [(5000, 5000 + k) for k in range(300)] + [(7, 7), (None, 3)]

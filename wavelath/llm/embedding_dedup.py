@@ -35,17 +35,24 @@ MARGIN = 1e-9
 
 
 def axes(reps: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes for each dimension, as columns, of all unit vectors: one Gram matrix per task goes out."""
+    """Principal axes for each dimension, as columns, of all unit vectors.
+
+    A task sends out its Gram matrix row by row, and each row is summed on its own, so no
+    task holds more than one row of every task's matrix.
+    """
 
     def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gram = sum(np.frombuffer(x, np.float64) for x in rows["gram"])
-        return pd.DataFrame({"d": [key[0]], "gram": [gram.tobytes()]})
+        line = sum(np.frombuffer(x, np.float64) for x in rows["line"])
+        return pd.DataFrame({"d": [key[0]], "i": [key[1]], "line": [line.tobytes()]})
 
-    found = reps.select("v").mapInArrow(_gram, "d long, gram binary").groupBy("d").applyInPandas(total, "d long, gram binary").collect()
-    out = {}
+    found = reps.select("v").mapInArrow(_gram, "d long, i long, line binary").groupBy("d", "i").applyInPandas(total, "d long, i long, line binary").collect()
+    lines: dict[int, dict[int, np.ndarray]] = {}
     for r in found:
-        values, vectors = np.linalg.eigh(np.frombuffer(r["gram"], np.float64).reshape(r["d"], r["d"]))
-        out[r["d"]] = vectors[:, np.argsort(-values)]
+        lines.setdefault(r["d"], {})[r["i"]] = np.frombuffer(r["line"], np.float64)
+    out = {}
+    for d, own in lines.items():
+        values, vectors = np.linalg.eigh(np.stack([own[i] for i in range(d)]))
+        out[d] = vectors[:, np.argsort(-values)]
     return out
 
 
@@ -60,7 +67,7 @@ def _gram(batches):
             u /= np.linalg.norm(u, axis=1, keepdims=True)
             sums[d] = sums.get(d, 0) + u.T @ u
     for d, gram in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([gram.tobytes()], pa.binary())], ["d", "gram"])
+        yield pa.RecordBatch.from_arrays([pa.array([d] * d, pa.int64()), pa.array(range(d), pa.int64()), pa.array([x.tobytes() for x in gram], pa.binary())], ["d", "i", "line"])
 
 
 def suffix_norms(x: np.ndarray, at: int) -> np.ndarray:
