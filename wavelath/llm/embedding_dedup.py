@@ -117,9 +117,10 @@ def links(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", labe
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(fit, F.lit(False)), F.col("v")))
     # Equal vectors: one of them stands for all; sums are taken map-side first, so a very common vector is no hot key.
-    digest = F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))
-    rows = rows.withColumn("h", digest)
-    reps = staged(rows.where("v is not null").groupBy("h", "label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "vectors")
+    # Two 64-bit hashes, with seeds of their own, name a vector: one alone would meet its like among some billions.
+    given = F.col("v").isNotNull()
+    rows = rows.withColumn("h", F.when(given, F.xxhash64("label", "v"))).withColumn("h2", F.when(given, F.xxhash64(F.lit(1), "label", "v")))
+    reps = staged(rows.where("v is not null").groupBy("h", "h2", "label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "vectors")
     turn = axes(reps)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
@@ -168,9 +169,9 @@ def links(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", labe
     found = staged(tiles.groupBy("label", "d", "c", "p", "n", "q").applyInPandas(compare, "a long, b long, n long"), "links")
     joined = components(found.where("n = 0").select("a", "b"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    known = reps.select("h", "rep", "many").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("h", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", "h").join(known, "h", "left")
+    known = reps.select("h", "h2", "rep", "many").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    known = known.select("h", "h2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.select("id", "h", "h2").join(known, ["h", "h2"], "left")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
