@@ -9,16 +9,14 @@ documents there are. They are found in two passes: each task's frequent
 shingles with a bound for those it leaves out, then exact counts of what may
 exceed THETA.
 
-Each text gets SAMPLES consistent weighted samples, cut into BANDS. Texts that
-agree in a band, and in enough samples for a similarity of THRESHOLD, are of one
-family: each is tried with the band's first text, and what doesn't agree with
-that one, with all texts of the band, in tiles. Within a family pairs are
-verified by their exact similarity over whole texts, the greater of weighted
-Jaccard with and without the frequency factor, in tiles of bounded size that
-skip pairs already in one component and give only a spanning forest of the
-links. A family larger than a tile is verified against first texts beforehand,
-so that only texts outside its largest component meet the whole family. No cap
-leaves a pair out.
+Each text gets SAMPLES consistent weighted samples, cut into BANDS. All texts that
+agree in a band are verified by their exact similarity over whole texts, the
+greater of weighted Jaccard with and without the frequency factor, however many of
+their other samples agree: each with the band's first text, and then those
+outside the band's largest component with all others, in tiles of bounded size
+that skip pairs already in one component and give only a spanning forest of the
+links. Bands of the same texts are verified once. No cap leaves a pair out; what
+is lost are pairs that share no band.
 
 Equal texts are one class from the start, by a 128-bit digest. null text: empty.
 Texts without words: a class with equal texts alone. null key: class null, kept.
@@ -44,14 +42,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLES, BANDS = 48, 16
 ROWS = SAMPLES // BANDS
-#: Samples of a pair that must agree before it is verified: 3.7 standard deviations below the mean at THRESHOLD.
-AGREE = 28
 #: Share of documents from which a shingle weighs less, and the least factor.
 THETA, FLOOR = 0.01, 0.8
 #: Shingles that a task counts at once.
 SEGMENT = 1 << 22
-#: Signatures, and texts, of one side of a tile.
-TILE, TEXTS = 1000, 400
+#: Texts of one side of a tile.
+TEXTS = 400
 #: Members of a group verified in one place against its first text.
 PART = 500
 
@@ -295,18 +291,6 @@ def _sigs(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, SAMPLES)
 
 
-def likely(pairs: DataFrame) -> DataFrame:
-    """(a, b) of rows (a, b, sig_a, sig_b) whose samples agree often enough."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                keep = pa.array(agreeing(_sigs(b.column("sig_a")), _sigs(b.column("sig_b"))) >= AGREE)
-                yield b.select(["a", "b"]).filter(keep)
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
 def grouped(batches, keys: list[str], columns: list[str]) -> Iterator[dict[str, list]]:
     """Groups of rows sorted by keys, as lists by column."""
     held: dict[str, list] = {}
@@ -372,35 +356,12 @@ def sorted_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "id")
 
 
-def kin(members: DataFrame) -> DataFrame:
-    """Spanning edges (a, b) of agreement between texts of a bucket that are not yet of one family: grp, id, comp, sig."""
-
-    def run(batches):
-        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "id", "comp", "sig"]):
-            ids = np.array(g["id"])
-            sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SAMPLES)
-            left, right = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
-            sets, first, out = Sets(len(ids)), {}, []
-            for k, c in enumerate(g["comp"]):
-                sets.join(first.setdefault(c, k), k)
-            if len(first) < 2:
-                continue
-            for i in left.tolist():
-                for j in right[agreeing(sig[right], sig[i]) >= AGREE].tolist():
-                    if sets.join(i, j):
-                        out.append((ids[i], ids[j]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return sorted_tiles(tiled(members, TILE, ["sig"])).mapInArrow(run, "a long, b long")
-
-
 def exact(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Spanning edges (a, b) of verified links between a family's texts that are not yet of one component: grp, id, comp, sig."""
-    tiles = sorted_tiles(tiled(members, TEXTS, ["sig"]).join(texts.withColumnRenamed("doc_id", "id"), "id"))
+    """Spanning edges (a, b) of verified links between a bucket's texts that are not yet of one component: grp, band, id, comp, sig."""
+    tiles = sorted_tiles(tiled(members, TEXTS, ["sig", "band"]).join(texts.withColumnRenamed("doc_id", "id"), "id"))
 
     def run(batches):
-        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "id", "comp", "sig", "text"]):
+        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "id", "comp", "sig", "band", "text"]):
             out = links_in(g, idf.value)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -409,22 +370,44 @@ def exact(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
 
 def links_in(g: dict[str, list], idf: Idf) -> list[tuple[int, int]]:
-    """Spanning edges of the links between the left and the right rows of a tile."""
+    """Spanning edges of the links between the left and the right rows of a tile.
+
+    Texts that agree in a band before the tile's own are left to that band.
+    """
     ids, own = g["id"], shingles([t or "" for t in g["text"]])
-    sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SAMPLES)
+    sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, BANDS, ROWS)
     left, right = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
     sets, first, out = Sets(len(ids)), {}, []
     for k, c in enumerate(g["comp"]):
         sets.join(first.setdefault((c, ids[k]) if c is None else c, k), k)
-    sizes = np.array([n.sum() for _, n in own])
+    # Distinct shingles numbered, with their counts and factors, text after text.
+    size = np.array([len(h) for h, _ in own])
+    start = np.cumsum(size) - size
+    h, number = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
+    count, factor, of_first = np.concatenate([n for _, n in own]), idf.of(h), np.zeros(len(h), np.int64)
+    plain = np.add.reduceat(count, start)
+    heavy = np.add.reduceat(count * factor[number], start)
     for i in left.tolist():
-        near = right[agreeing(sig[right], sig[i]) >= AGREE]
-        near = near[(np.minimum(sizes[near], sizes[i]) >= THRESHOLD * FLOOR * np.maximum(sizes[near], sizes[i]))]
-        # Likeliest first: once two texts are in one component, no further pair of theirs is compared.
-        for j in near[np.argsort(-agreeing(sig[near], sig[i]), kind="stable")].tolist():
-            if sets.find(i) != sets.find(j) and similarity(own[i], own[j], idf) >= THRESHOLD:
-                sets.join(i, j)
-                out.append((ids[i], ids[j]))
+        agree = sig[right] == sig[i]
+        near = np.flatnonzero(~agree[:, : g["band"][i]].all(-1).any(-1))
+        near = near[[sets.find(i) != sets.find(j) for j in right[near].tolist()]] if len(near) else near
+        # Likeliest first, in steps: once two texts are in one component, no further pair of theirs is compared.
+        near = right[near[np.argsort(-agree[near].sum((1, 2)), kind="stable")]]
+        mine = slice(start[i], start[i] + size[i])
+        of_first[number[mine]] = count[mine]
+        while len(near):
+            step, near = near[:32], near[32:]
+            at = np.concatenate([np.arange(start[j], start[j] + size[j]) for j in step])
+            heads = np.cumsum(size[step]) - size[step]
+            common = np.minimum(of_first[number[at]], count[at])
+            a, b = np.add.reduceat(common, heads), np.add.reduceat(common * factor[number[at]], heads)
+            score = np.maximum(a / (plain[step] + plain[i] - a), b / (heavy[step] + heavy[i] - b))
+            for j in step[score >= THRESHOLD].tolist():
+                if sets.join(i, j):
+                    out.append((ids[i], ids[j]))
+            if len(near):
+                near = near[[sets.find(i) != sets.find(j) for j in near.tolist()]]
+        of_first[number[mine]] = 0
     return out
 
 
@@ -468,27 +451,20 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     signed = staged(signed_texts(rows, idf), "signed")
     given = signed.where("doc_id is not null")
     reps = staged(given.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("m")).select("t1", "t2", "m.*"), "reps")
-    buckets = reps.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    buckets = reps.where("bands is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("doc_id").alias("id"))
     first = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     shared = staged(buckets.join(first, "bucket"), "buckets")
     sigs = reps.where("sig is not null").select(F.col("doc_id").alias("id"), "sig")
-    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pairs = pairs.join(sigs.selectExpr("id as a", "sig as sig_a"), "a").join(sigs.selectExpr("id as b", "sig as sig_b"), "b")
-    tried = staged(likely(pairs), "pairs")
-    # A bucket of which all texts are of one family already has no pair to add; samples go to the others alone.
-    sides = in_parts(shared.select(F.col("bucket").alias("grp"), "id"), components(tried))
+    # Only texts that share a band are read, at the cost of one shuffle. There may be too many for a broadcast, so none is tried.
+    met = shared.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    texts = staged(rows.where("doc_id is not null").join(met, "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    found = staged(verified(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), texts, idf).distinct(), "found")
+    # The first text has met all others of its bucket: only those have to meet. Buckets of the same texts count once.
+    others = shared.where("id <> a").select(F.col("bucket").alias("grp"), "band", "id")
+    sets = others.groupBy("grp").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    sides = in_parts(others.join(sets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "grp")).alias("m")).select("m.grp"), "grp"), components(found))
     open_ = sides.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
-    sides = sides.join(open_, "grp").join(sigs, "id")
-    more = kin(sides)
-    # Texts of families alone are kept, at the cost of one shuffle. There may be too many for a broadcast, so none is tried.
-    families = components(tried.unionByName(staged(more.distinct(), "pairs")))
-    members = staged(families.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").withColumnRenamed("component", "grp"), "members")
-    texts = staged(rows.where("doc_id is not null").join(members.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    large = members.groupBy("grp").count().where(F.col("count") > TEXTS).select("grp")
-    # In a large family first texts are tried alone, so that few of its texts have to meet all others.
-    ahead = tried.join(members.join(large, "grp", "left_semi").selectExpr("id as b"), "b", "left_semi").select("a", "b")
-    found = staged(verified(ahead, texts, idf).distinct(), "found")
-    rest = exact(in_parts(members, components(found)), texts, idf)
+    rest = exact(staged(sides.join(open_, "grp").join(sigs, "id"), "sides"), texts, idf)
     label = components(found.unionByName(staged(rest.distinct(), "found")))
     known = reps.select("t1", "t2", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("t1", "t2", F.coalesce("component", "doc_id").alias("class_id"))
     out = given.select("doc_id", "t1", "t2").join(known, ["t1", "t2"], "left").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
