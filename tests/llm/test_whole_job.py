@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from wavelath.llm import near_dedup
+from wavelath.llm import near_dedup, repair
 
 
 def test_pairs_of_one_band_are_verified():
@@ -13,3 +13,27 @@ def test_pairs_of_one_band_are_verified():
     tile = {"left": [True, False], "right": [True, True], "id": [1, 2], "comp": [1, 2], "band": [1, 1], "sig": [sig.tobytes(), other.astype("<u2").tobytes()], "text": [" ".join(words), " ".join([*words, "more"])]}
     assert near_dedup.links_in(tile, near_dedup.Idf()) == [(1, 2)]
     assert near_dedup.links_in(tile | {"band": [2, 2]}, near_dedup.Idf()) == []
+
+
+def counted(sym, end):
+    """Occurrences of each pair within documents, those of one symbol twice at alternate places."""
+    seen, k = {}, 0
+    while k < len(sym) - 1:
+        pair = (sym[k], sym[k + 1])
+        if not end[k]:
+            seen[pair] = seen.get(pair, 0) + 1
+        k += 2 if not end[k] and pair[0] == pair[1] and k + 2 < len(sym) and sym[k + 2] == pair[0] and not end[k + 1] else 1
+    return seen
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(4)
+    passage = r.integers(0, 900, 500)
+    ids = np.concatenate([np.full(9001, 7), *([passage] * 40), r.zipf(1.4, 6000).clip(max=899)]).astype(np.uint32)
+    ends = np.zeros(len(ids), bool)
+    ends[[9000, len(ids) - 1]] = True
+    for most in (repair.PAIRS_A_ROUND, 3):
+        sym, end, rules = repair.compress(ids, ends, 1000, most=most)
+        assert repair.expand(sym, rules, 1000).tolist() == ids.tolist()
+        assert max(counted(sym.tolist(), end.tolist()).values()) < repair.LEAST
+        assert np.flatnonzero(end)[0] < 40

@@ -1,15 +1,18 @@
 """Token-id files compressed by a grammar of id pairs (Re-Pair), per shard.
 
 A shard holds the ids of documents in ascending key order. Frequent neighbouring
-pairs become new symbols, many pairs a round: a round takes pairs of which no
-right symbol is another's left one, so that their occurrences never overlap. A
+pairs become new symbols, many pairs a round, until no pair is left that occurs
+LEAST times: a round takes pairs of which no right symbol is another's left one, so
+that their occurrences never overlap. A pair of one symbol twice is taken at
+alternate places of each run, and no other pair with that symbol beside it. A
 pair never reaches over the end of a document, so every document owns a run of
 symbols and is decoded alone. Rules and the lengths they expand to are stored.
 
-File format, little-endian: magic RPZ1; uint32 documents, rules, base (the first
-symbol that is a rule), bytes per symbol; uint64 symbols; then per document
+File format, little-endian: magic RPZ2; uint32 documents, rules, base (the first
+symbol that is a rule), bits per symbol; uint64 symbols; then per document
 uint8 key given, int64 key, int64 tokens, int64 symbols; per rule uint32 left,
-right, expansion length; then the symbols. A shard is one row (binary) of a
+right, expansion length; then the symbols, bit by bit: bit 0 of all, bit 1 of all ...
+A shard is one row (binary) of a
 Parquet table, so any file system that Spark writes to can hold it.
 """
 
@@ -28,30 +31,34 @@ from .common import small_batches, with_default
 from .tokens import encoder
 
 HEAD = struct.Struct("<4s4IQ")
-MAGIC = b"RPZ1"
+MAGIC = b"RPZ2"
 SHARD_SCHEMA = "part long, shard long, n_docs long, n_tokens long, n_symbols long, payload binary"
 DOC_SCHEMA = "part long, shard long, doc_id long, local long, n_tokens long, ids_crc32 long"
 #: Ids of a shard, before compression; a document is never parted.
 SHARD_IDS = 1 << 22
 BUCKETS = 20
-ROUNDS = 5
+#: Pairs that one round takes at most; what is left over is for the next rounds.
 PAIRS_A_ROUND = 2000
+#: A pair that occurs less often is not replaced.
 LEAST = 16
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, most: int = PAIRS_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, their document-end flags, and rules (left, right), of ids whose ends are flagged."""
     sym, end = ids.astype(np.uint32), ends.astype(bool)
     rules: list[np.ndarray] = []
     made = base
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         code = sym[:-1].astype(np.uint64) << np.uint64(32) | sym[1:]
         bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
         free = ~end[:-1]
+        # Of a run of one symbol every other place counts.
+        same = np.flatnonzero(free & (sym[:-1] == sym[1:]))
+        if len(same):
+            heads = np.r_[True, np.diff(same) > 1]
+            free[same[(same - same[np.maximum.accumulate(np.where(heads, np.arange(len(same)), 0))]) % 2 == 1]] = False
         seen = np.bincount(bucket[free], minlength=1 << BUCKETS)
-        cut = max(least, int(np.partition(seen, -most)[-most]))
+        cut = max(least, int(np.partition(seen, -most)[-most])) if most < len(seen) else least
         at = np.flatnonzero(free & (seen >= cut)[bucket])
         pairs, back, n = np.unique(code[at], return_inverse=True, return_counts=True)
         left, right, taken = set(), set(), []
@@ -59,12 +66,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
             if n[k] < least or len(taken) == most:
                 break
             a, b = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
-            if a != b and a not in right and b not in left:
+            if a not in right and b not in left:
                 left.add(a)
                 right.add(b)
                 taken.append(k)
         if not taken:
-            break
+            if cut == least:
+                break
+            most *= 8  # the fullest buckets held no frequent pair: look into more
+            continue
         number = np.full(len(pairs), -1, np.int64)
         number[taken] = np.arange(len(taken))
         hit = number[back]
@@ -110,10 +120,10 @@ def write_shard(keys: list, ids: list[np.ndarray], base: int) -> tuple[bytes, in
     ends[np.cumsum(sizes) - 1] = True
     sym, end, rules = compress(flat, ends, base)
     runs = np.diff(np.r_[0, np.flatnonzero(end) + 1]).astype("<i8")
-    kind = "<u2" if base + len(rules) <= 1 << 16 else "<u4"
+    width = max(1, (base + len(rules) - 1).bit_length())
     given = np.array([k is not None for k in keys], np.uint8)
-    head = HEAD.pack(MAGIC, len(keys), len(rules), base, int(kind[-1]), len(sym))
-    parts = [given, np.array([k or 0 for k in keys], "<i8"), sizes.astype("<i8"), runs, rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), expansion_lengths(rules, base).astype("<u4"), sym.astype(kind)]
+    head = HEAD.pack(MAGIC, len(keys), len(rules), base, width, len(sym))
+    parts = [given, np.array([k or 0 for k in keys], "<i8"), sizes.astype("<i8"), runs, rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), expansion_lengths(rules, base).astype("<u4"), *(np.packbits((sym >> np.uint32(k) & np.uint32(1)).astype(np.uint8)) for k in range(width))]
     return head + b"".join(p.tobytes() for p in parts), len(sym)
 
 
@@ -137,7 +147,9 @@ class Shard:
         self.sizes, self.runs = take("<i8", docs), take("<i8", docs)
         self.rules = np.stack([take("<u4", rules), take("<u4", rules)], 1)
         self.lengths = take("<u4", rules)
-        self.symbols = take(f"<u{width}", symbols).astype(np.uint32)
+        self.symbols = np.zeros(symbols, np.uint32)
+        for k in range(width):
+            self.symbols |= np.unpackbits(take("u1", -(-symbols // 8)), count=symbols).astype(np.uint32) << np.uint32(k)
 
     def ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.base)
