@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: numpy kinds that convert to 32- and to 64-bit floats.
 TO_32 = ("u2", "i2", "u4", "i4")
 TO_64 = (*TO_32, "u8", "i8")
+#: Bytes of each kind.
+SOURCES = {kind: int(kind[1]) for kind in TO_64}
 FLOATS = {"f32": np.float32, "f64": np.float64, "cf32": np.float32, "cf64": np.float64}
 
 
@@ -37,14 +39,20 @@ def signed(value: Column, bits: int) -> Column:
     return (value + half) % (1 << bits) - half
 
 
+def low64(value: str) -> Column:
+    """A decimal's low 64 bits as a long, so that no unsigned value overflows."""
+    half, full = 1 << 63, 1 << 64
+    return F.expr(f"cast(pmod(cast({value} as decimal(38,0)) + {half}BD, {full}BD) - {half}BD as long)")
+
+
 def native_int16(payload: Column, byteswap: bool = True) -> Column:
-    """ARRAY<INT> of all 16-bit integers of payload."""
-    text = F.hex(payload)
+    """ARRAY<INT> of all 16-bit integers of payload; each is cut out of the bytes, whose places are known."""
 
     def at(k: Column) -> Column:
-        pair = F.substring(text, k * 4 + 1, F.lit(4))
-        pair = pair if byteswap else F.concat(F.substring(pair, 3, 2), F.substring(pair, 1, 2))
-        return signed(F.conv(pair, 16, 10).cast("int"), 16)
+        pair = F.substring(payload, k * 2 + 1, F.lit(2))
+        text = F.hex(pair)
+        text = text if byteswap else F.concat(F.substring(text, 3, 2), F.substring(text, 1, 2))
+        return signed(F.conv(text, 16, 10).cast("int"), 16)
 
     n = F.floor(F.length(payload) / 2).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))

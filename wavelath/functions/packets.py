@@ -68,29 +68,34 @@ def parse_v49(packets: DataFrame, pkt: str = "pkt") -> DataFrame:
         F.when(has["cls"] & (F.length(p) >= at["cls"] + 8), F.substring(p, at["cls"] + 1, F.lit(8))).alias("class_id"),
         F.when(has["int"], unsigned(p, at["int"], 4)).alias("sec"),
         F.when(has["frac"], unsigned(p, at["frac"], 8)).alias("frac"),
-        F.when(trailer, unsigned(p, claimed - 4, 4)).alias("trailer"),
+        F.when(trailer & (claimed >= F.col("__at") + 4), unsigned(p, F.greatest(claimed - 4, F.lit(0)), 4)).alias("trailer"),
         F.when(data, F.substring(p, F.col("__at") + 1, size)).otherwise(F.lit(b"")).alias("payload"),
         (h.isNull() | (claimed > F.length(p)) | (claimed < F.col("__at"))).alias("_corrupt"),
     ).drop("__at")
 
 
 def parse_sdds(packets: DataFrame, pkt: str = "pkt") -> DataFrame:
-    """packets with ttag, ttage, sec, frac (picoseconds), payload and _corrupt."""
+    """packets with ttag, ttage, sec (32 bits of the seconds), frac (what ttag has beyond sec, in picoseconds, 64 bits), payload and _corrupt."""
     p = F.col(pkt)
     rows = packets.withColumn("ttag", unsigned(p, 8, 8)).withColumn("ttage", unsigned(p, 16, 4))
+    rows = rows.withColumn("sec", F.expr(f"cast((ttag div {SDDS_TICKS_A_SECOND}) % {1 << 32} as long)"))
+    ps = f"cast(ttag as decimal(38,0)) * {SDDS_TICK_PS} - cast(sec as decimal(38,0)) * {SDDS_TICKS_A_SECOND * SDDS_TICK_PS}"
     return rows.select(
         "*",
-        F.expr(f"cast(ttag div {SDDS_TICKS_A_SECOND} as long)").alias("sec"),
-        F.expr(f"cast((ttag % {SDDS_TICKS_A_SECOND}) * {SDDS_TICK_PS} as decimal(20,0))").alias("frac"),
+        F.expr(f"cast(({ps}) % {1 << 64} as decimal(20,0))").alias("frac"),
         F.substring(p, SDDS_HEADER + 1, SDDS_PAYLOAD).alias("payload"),
-        (F.length(p) < SDDS_HEADER + SDDS_PAYLOAD).alias("_corrupt"),
+        F.coalesce(F.length(p) < SDDS_HEADER + SDDS_PAYLOAD, F.lit(True)).alias("_corrupt"),
     )
 
 
-def parse(packets: DataFrame, transport: str, pkt: str = "pkt") -> DataFrame:
-    """Data packets of a transport, with sec, frac and payload."""
+def check_transport(transport: str) -> None:
     if transport not in TRANSPORTS:
         raise ValueError(f"transport must be one of {TRANSPORTS}, not {transport!r}")
+
+
+def parse(packets: DataFrame, transport: str, pkt: str = "pkt") -> DataFrame:
+    """Data packets of a transport, with sec, frac and payload."""
+    check_transport(transport)
     if transport == "sdds":
         return parse_sdds(packets, pkt)
     return parse_v49(packets, pkt).where(is_data(F.col("header")))
