@@ -17,17 +17,22 @@ DB = 10 / math.log2(10)
 
 
 def window(name: str, n: int, dtype=np.float64) -> np.ndarray:
-    """Taper of n coefficients: Blackman-Harris is periodic, Hamming symmetric. Cosines are double, rounded to dtype at the end."""
+    """Taper of n coefficients: Blackman-Harris is periodic, Hamming symmetric. Names may be in capitals.
+
+    Factors are rounded to dtype first, cosines are double, and the sum is rounded to dtype.
+    """
+    given, name = name, name.lower()
     if name not in WINDOWS:
-        raise ValueError(f"window must be one of {WINDOWS}, not {name!r}")
+        raise ValueError(f"window must be one of {WINDOWS}, not {given!r}")
     if n < (2 if name == "hamming" else 1):
         raise ValueError(f"{name} needs more than {n} coefficients")
     k = np.arange(n)
     if name == "hamming":
-        return (HAMMING[0] - HAMMING[1] * np.cos(2 * np.pi * k / (n - 1))).astype(dtype)
+        a, b = (float(dtype(c)) for c in HAMMING)
+        return (a - b * np.cos(2 * np.pi * k / (n - 1))).astype(dtype)
     x = 2 * np.pi * k / n
     signs = (1, -1, 1, -1)
-    return sum(s * a * np.cos(j * x) for j, (s, a) in enumerate(zip(signs, BLACKMAN_HARRIS, strict=True))).astype(dtype)
+    return sum(s * float(dtype(a)) * np.cos(j * x) for j, (s, a) in enumerate(zip(signs, BLACKMAN_HARRIS, strict=True))).astype(dtype)
 
 
 def interleaved(w: np.ndarray) -> np.ndarray:
@@ -97,24 +102,63 @@ def native_ema(previous: Column, current: Column, alpha: float) -> Column:
     return F.zip_with(previous, current, lambda p, c: F.lit(alpha) * c + F.lit(1 - alpha) * p)
 
 
+def native_at(x: Column, pos: Column | int) -> Column:
+    """The number at a place from 0; a place outside fails, as it does for a frame's own accessor."""
+    pos = F.lit(pos) if isinstance(pos, int) else pos
+    return F.when((pos >= 0) & (pos < F.size(x)), F.get(x, pos)).when(x.isNotNull() & pos.isNotNull(), F.raise_error(F.lit("place outside of the frame")))
+
+
+def native_bytes(x: Column, single: bool = False) -> Column:
+    """Bytes that a frame's numbers take."""
+    return F.size(x).cast("long") * (4 if single else 8)
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions on array columns: wl_fft(re, im), wl_psd(re, im, rate), wl_shift(x), wl_window(name, n)."""
+    """SQL functions on array columns: wl_fft(re, im), wl_rfft(x), wl_psd(re, im, rate, window), wl_shift(x), wl_window(name, n), wl_apply(x, name), wl_window_sum(name, n), wl_ema(previous, current, alpha)."""
+
+    def each(f, *cols):
+        return pd.Series([f(*v) for v in zip(*cols, strict=True)])
+
+    def parts(rows) -> pd.DataFrame:
+        return pd.DataFrame({"re": [x.real.tolist() for x in rows], "im": [x.imag.tolist() for x in rows]})
+
+    array = lambda v: np.asarray(v, float)
+
+    def db(r, i, rate, name):
+        taper = window(name, len(r)) if name else None
+        return psd(fft(array(r), array(i), taper, shifted=False), rate, power_sum(taper) if name else float(len(r))).tolist()
+
     @F.pandas_udf("struct<re:array<double>,im:array<double>>")
     def wl_fft(re: pd.Series, im: pd.Series) -> pd.DataFrame:
-        out = [fft(np.asarray(r, float), np.asarray(i, float), shifted=False) for r, i in zip(re, im, strict=True)]
-        return pd.DataFrame({"re": [x.real.tolist() for x in out], "im": [x.imag.tolist() for x in out]})
+        return parts([fft(array(r), array(i), shifted=False) for r, i in zip(re, im, strict=True)])
+
+    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    def wl_rfft(x: pd.Series) -> pd.DataFrame:
+        return parts([rfft(array(v)) for v in x])
 
     @F.pandas_udf("array<double>")
-    def wl_psd(re: pd.Series, im: pd.Series, rate: pd.Series) -> pd.Series:
-        return pd.Series([psd(np.asarray(r, float) + 1j * np.asarray(i, float), f, 1.0).tolist() for r, i, f in zip(re, im, rate, strict=True)])
+    def wl_psd(re: pd.Series, im: pd.Series, rate: pd.Series, name: pd.Series) -> pd.Series:
+        return each(db, re, im, rate, name)
 
     @F.pandas_udf("array<double>")
     def wl_shift(x: pd.Series) -> pd.Series:
-        return pd.Series([shift(np.asarray(v, float)).tolist() for v in x])
+        return each(lambda v: shift(array(v)).tolist(), x)
 
     @F.pandas_udf("array<double>")
     def wl_window(name: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([window(a, int(b)).tolist() for a, b in zip(name, n, strict=True)])
+        return each(lambda a, b: window(a, int(b)).tolist(), name, n)
+
+    @F.pandas_udf("array<double>")
+    def wl_apply(x: pd.Series, name: pd.Series) -> pd.Series:
+        return each(lambda v, a: (array(v) * window(a, len(v))).tolist(), x, name)
+
+    @F.pandas_udf("double")
+    def wl_window_sum(name: pd.Series, n: pd.Series) -> pd.Series:
+        return each(lambda a, b: power_sum(window(a, int(b))), name, n)
+
+    @F.pandas_udf("array<double>")
+    def wl_ema(previous: pd.Series, current: pd.Series, alpha: pd.Series) -> pd.Series:
+        return each(lambda p, c, a: ema(array(p), array(c), a).tolist(), previous, current, alpha)
 
-    for name, f in (("wl_fft", wl_fft), ("wl_psd", wl_psd), ("wl_shift", wl_shift), ("wl_window", wl_window)):
-        spark.udf.register(name, f)
+    for f in (wl_fft, wl_rfft, wl_psd, wl_shift, wl_window, wl_apply, wl_window_sum, wl_ema):
+        spark.udf.register(f.__name__ if hasattr(f, "__name__") else f._name, f)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import spectral as S
 from ..functions.convert import float_type
@@ -48,7 +49,8 @@ def _run(frames: DataFrame, size: int, kernel, out: list[str], dtype: str) -> Da
             yield pa.RecordBatch.from_arrays([b.column("channel"), b.column("frame"), b.column("ts"), *map(lists, kernel(re, im))], ["channel", "frame", "ts", *out])
 
     schema = "channel string, frame long, ts struct<sec:bigint,ps:bigint>, " + ", ".join(f"{c} array<{name}>" for c in out)
-    return frames.select("channel", "frame", "ts", "re", "im").mapInArrow(run, schema)
+    # Empty messages are passed over.
+    return frames.where("size(re) > 0").select("channel", "frame", "ts", "re", "im").mapInArrow(run, schema)
 
 
 def fft(frames: DataFrame, fft_size: int = 1024, window: str = "", shift: bool = True, dtype: str = "cf64", fftw_threads: int = 1) -> DataFrame:
@@ -63,6 +65,18 @@ def fft(frames: DataFrame, fft_size: int = 1024, window: str = "", shift: bool =
     return _run(frames, fft_size, kernel, ["re", "im"], dtype)
 
 
+def rfft(frames: DataFrame, fft_size: int, window: str = "", dtype: str = "f64") -> DataFrame:
+    """Half spectra (fft_size // 2 + 1 bins) of real frames (x), not shifted: a shift of half a spectrum would part nothing."""
+    kind = float_type(dtype)
+    taper = S.window(window, fft_size, kind) if window else None
+
+    def kernel(re, im):
+        x = S.rfft(re, taper)
+        return x.real.astype(kind), x.imag.astype(kind)
+
+    return _run(frames.withColumnsRenamed({"x": "re"}).withColumn("im", F.col("re")), fft_size, kernel, ["re", "im"], dtype)
+
+
 def window_sum(window: str, fft_size: int, dtype: str = "cf64", rounded: bool = False) -> float:
     """Power of the taper; "rectangular" is named where no taper was applied."""
     if window == "rectangular":
@@ -70,9 +84,9 @@ def window_sum(window: str, fft_size: int, dtype: str = "cf64", rounded: bool =
     return S.power_sum(S.window(window, fft_size, float_type(dtype)), rounded)
 
 
-def psd(spectra: DataFrame, fft_size: int = 1024, window: str = "", sample_rate: float = 1.0, dtype: str = "f64") -> DataFrame:
-    """Decibels of each bin of spectra."""
-    total = window_sum(window, fft_size, dtype)
+def psd(spectra: DataFrame, fft_size: int = 1024, window: str = "", sample_rate: float = 1.0, dtype: str = "f64", rounded: bool = False) -> DataFrame:
+    """Decibels of each bin of spectra; rounded: the taper's squares are taken in single precision."""
+    total = window_sum(window, fft_size, dtype, rounded)
     return _run(spectra, fft_size, lambda re, im: [S.psd(re + 1j * im, sample_rate, total)], ["psd"], dtype)
 
 

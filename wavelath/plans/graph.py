@@ -3,6 +3,9 @@
 A component has a kind of rows that it takes and one that it gives; connections
 whose kinds differ are refused before anything runs. Global properties fill those
 that a component has under the same name and doesn't set itself.
+
+Over a streaming source the same graph is a streaming query: run() starts it, a sink ends it
+at its byte limit.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.convert import FLOATS
 from ..operators import framing, histogram, sinks, smoothing, spectral
@@ -28,6 +32,9 @@ class Component:
     gives: Callable[[str], str | None]
     defaults: dict[str, Any] = field(default_factory=dict)
     dtypes: tuple[str, ...] = ()
+    #: Of a sink: its input to rows (channel, order, data), and the column of the order.
+    data: Callable[[DataFrame], DataFrame] | None = None
+    order: str = "seq"
 
 
 REGISTRY: dict[str, Component] = {}
@@ -61,21 +68,33 @@ def _udp(spark, _, p, dtype):
 
 def _stov(spark, df, p, dtype):
     if df.isStreaming:
-        from pyspark.sql import functions as F
-
         from ..streaming import stateful
 
-        out = stateful.stov(df, p["output_size"], p["transport"], p["byteswap"])
-        return out.select("channel", "frame", F.struct("sec", "ps").alias("ts"), "re", "im")
+        return stateful.stov(df, p["output_size"], p["transport"], p["byteswap"], dtype)
     return framing.stov(df, p["output_size"], p["transport"], dtype, p["byteswap"])
 
 
 def _smooth(spark, df, p, dtype):
+    value = "psd" if "psd" in df.columns else "x"
     if df.isStreaming:
         from ..streaming import stateful
 
-        return stateful.exp_smooth(df, p["alpha"])
-    return smoothing.exp_smooth(df, p["alpha"], "psd" if "psd" in df.columns else "x", dtype)
+        return stateful.exp_smooth(df, p["alpha"], value, dtype)
+    return smoothing.exp_smooth(df, p["alpha"], value, dtype)
+
+
+def _histogram(spark, df, p, dtype):
+    options = (p["msg_size"], p["num_msgs"], p["adc_bits"], p["sample_rate"], p["transport"], p["byteswap"])
+    if df.isStreaming:
+        from ..streaming import stateful
+
+        return stateful.histogram(df, *options)
+    return histogram.from_packets(df, *options)
+
+
+def _limited(data: Callable[[DataFrame], DataFrame], order: str):
+    """A sink's rows: up to its limit in batch; of a stream all, as the limit holds over micro-batches."""
+    return lambda spark, df, p, dtype: data(df) if df.isStreaming else sinks.limited(data(df), p["num_bytes"], seq=order)
 
 
 def _none(_):
@@ -90,9 +109,9 @@ register(Component("stov", _stov, _packets, lambda t: "frames:" + t, {"output_si
 register(Component("fft", lambda s, d, p, t: spectral.fft(d, p["fft_size"], p["window"], p["shift"], t, p["fftw_threads"]), _complex, _complex, {"window": "", "fft_size": 1024, "fftw_threads": 1, "shift": True}, _F))
 register(Component("psd", lambda s, d, p, t: spectral.psd(d, p["fft_size"], p["window"], p["sample_rate"], t), _complex, _real, {"window": "", "fft_size": 1024, "sample_rate": 1.0}, _F))
 register(Component("exp_smooth", _smooth, _real, _real, {"alpha": 1.0}, _F))
-register(Component("histogram", lambda s, d, p, t: histogram.from_packets(d, p["msg_size"], p["num_msgs"], p["adc_bits"], p["sample_rate"], p["transport"], p["byteswap"]), _packets, lambda _: "histogram", {"transport": "", "msg_size": 0, "byteswap": True, "adc_bits": 0, "sample_rate": 0, "num_msgs": 64}))
-register(Component("file_writer", lambda s, d, p, t: sinks.file_bytes(d, p["num_bytes"]), _packets, _none, {"filename": "", "num_bytes": 0}))
-register(Component("aligned_mem_writer", lambda s, d, p, t: sinks.frame_bytes(d, p["num_bytes"]), lambda t: "frames:" + t, _none, {"filename": "", "num_bytes": 0}, tuple(FLOATS)))
+register(Component("histogram", _histogram, _packets, lambda _: "histogram", {"transport": "", "msg_size": 0, "byteswap": True, "adc_bits": 0, "sample_rate": 0, "num_msgs": 64}))
+register(Component("file_writer", _limited(sinks.payloads, "seq"), _packets, _none, {"filename": "", "num_bytes": 0}, (), sinks.payloads))
+register(Component("aligned_mem_writer", _limited(sinks.memory, "frame"), lambda t: "frames:" + t, _none, {"filename": "", "num_bytes": 0}, tuple(FLOATS), sinks.memory, "frame"))
 
 
 class GraphError(ValueError):
@@ -168,10 +187,17 @@ class Graph:
             df = node.component.build(spark, df, node.properties, node.dtype)
         return df
 
-    def run(self, spark: SparkSession, name: str | None = None, source: DataFrame | None = None) -> DataFrame:
-        """build, and write to the component's filename if it is a sink in batch."""
-        df = self.build(spark, name, source)
-        node = self.nodes[name or list(self.nodes)[-1]]
-        if (path := node.properties.get("filename")) and not df.isStreaming:
-            sinks.write_raw(df, path)
+    def run(self, spark: SparkSession, name: str | None = None, source: DataFrame | None = None, checkpoint: str | None = None) -> DataFrame | StreamingQuery:
+        """build, and write to the component's filename if it is a sink.
+
+        Over a streaming source: the started query of a sink, which ends at the byte limit, or the streaming rows of any other component.
+        """
+        name = name or list(self.nodes)[-1]
+        df, node = self.build(spark, name, source), self.nodes[name]
+        if not (path := node.properties.get("filename")):
+            return df
+        if df.isStreaming:
+            # The stream's rows come in as its micro-batches, already cut down to channel, order and data.
+            return sinks.Capture(lambda rows: rows, path, node.properties["num_bytes"], node.component.order).start(df, checkpoint)
+        sinks.write_raw(df, path)
         return df

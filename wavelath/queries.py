@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import packets as P
 from .functions import spectral as S
-from .functions.convert import native_int16
+from .functions.convert import TO_64, decode, native_int16
 from .operators import framing, histogram, sinks, smoothing, spectral
 from .plans.graph import Graph
+from .shared import fresh_path
 from .sources import replay as R
 from .streaming import stateful
 
 N, FRAME, RATE = 64, 96, 1000.0
 BINS, BLOCK, FLUSH = 8, 64, 1000
 ALPHA, LIMIT = 0.25, 20_000
+PACKET_BLOCK, PACKET_FLUSH = 2, 700
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
@@ -57,10 +59,22 @@ def v49_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sdds_parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.parse_sdds(R.sdds_packets(spark))
+    rows = P.parse_sdds(R.sdds_packets(spark, sf_dir))
     return rows.select("seq", F.col("ttag").cast("long").alias("ttag"), "ttage", "sec", F.col("frac").cast("long").alias("ps"), F.length("payload").cast("long").alias("n_bytes"))
 
 
+def integer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second number of each payload read as every kind of integer, in both byte orders."""
+
+    def run(batches):
+        for b in batches:
+            for seq, payload in zip(b.column("seq").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                rows = [(seq, kind, swap, float(decode(payload, "f64", kind, swap)[1])) for kind in TO_64 for swap in (True, False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["seq", "kind", "byteswap", "v"])
+
+    return P.parse(R.v49_packets(spark, sf_dir), "vita49").where("length(payload) >= 16").select("seq", "payload").mapInArrow(run, "seq long, kind string, byteswap boolean, v double")
+
+
 def v49_filter_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse(R.v49_packets(spark, sf_dir), "vita49").select("seq", F.col("header.ptype").cast("long").alias("ptype"))
 
@@ -86,6 +100,35 @@ def stov_frame_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("frame", F.col("ts.sec").alias("sec"), F.col("ts.ps").alias("ps"))
 
 
+def stov_repeated_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets two by two of one seq, on a channel without a name: none is lost."""
+    packets = R.v49_packets(spark, sf_dir).withColumn("seq", F.expr("seq div 2")).withColumn("channel", F.lit(None).cast("string"))
+    return complex_form(framing.stov(packets, FRAME))
+
+
+def stov_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of single-precision numbers I, Q, I, Q ..."""
+    return framing.stov(R.v49_packets(spark, sf_dir), FRAME, dtype="f32").select("frame", F.posexplode("x").alias("bin", "v")).select("frame", F.col("bin").cast("long").alias("bin"), F.col("v").cast("double").alias("v"))
+
+
+def sdds_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complex_form(framing.stov(R.sdds_packets(spark, sf_dir), FRAME, "sdds", "cf32"))
+
+
+def frame_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.real_frames(spark, sf_dir)
+    return rows.select("frame", rounded(S.native_at(F.col("psd"), 3)).alias("third"), F.size("psd").cast("long").alias("n"), S.native_bytes(F.col("psd")).alias("n_bytes"))
+
+
+def rfft_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complex_form(spectral.rfft(R.real_frames(spark, sf_dir).withColumnRenamed("psd", "x"), 64, "hamming"))
+
+
+def window_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, k, float(v)) for name in S.WINDOWS for k, v in enumerate(S.window(name.upper(), N, np.float32))]
+    return spark.createDataFrame(rows, "name string, n long, w double").withColumn("w", rounded("w"))
+
+
 def fft_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complex_form(spectral.fft(R.complex_frames(spark, sf_dir), 32, shift=False))
 
@@ -130,12 +173,23 @@ def histogram_flush_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("win", F.col("ts.sec").alias("sec"), F.posexplode("counts").alias("bin", "n")).select("win", "sec", F.col("bin").cast("long").alias("bin"), "n")
 
 
+def histogram_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = histogram.from_packets(R.v49_packets(spark, sf_dir), 1060, PACKET_BLOCK, BINS, PACKET_FLUSH)
+    return rows.select("win", F.col("ts.sec").alias("sec"), F.posexplode("counts").alias("bin", "n")).select("win", "sec", F.col("bin").cast("long").alias("bin"), "n")
+
+
 def byte_limited_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.file_bytes(R.v49_packets(spark, sf_dir), LIMIT).select("seq", F.col("at").alias("byte_at"), F.length("data").cast("long").alias("n_bytes"))
+    return sinks.file_bytes(R.v49_packets(spark, sf_dir), LIMIT).select("seq", F.col("at").alias("byte_at"), F.length("data").cast("long").alias("n_bytes"), F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
 def frame_limited_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.frame_bytes(R.complex_frames(spark, sf_dir), LIMIT).select("frame", F.col("at").alias("byte_at"), F.length("data").cast("long").alias("n_bytes"))
+    def numbers(batches):
+        for b in batches:
+            sums = [float(np.frombuffer(x, "<f8", len(x) // 8).sum()) for x in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(x) for x in b.column("data").to_pylist()], pa.int64()), pa.array(sums)], ["frame", "byte_at", "n_bytes", "total"])
+
+    rows = sinks.frame_bytes(R.complex_frames(spark, sf_dir), LIMIT).select("frame", F.col("at").alias("byte_at"), "data")
+    return rows.mapInArrow(numbers, "frame long, byte_at long, n_bytes long, total double").withColumn("total", rounded("total"))
 
 
 #: The topology of a power-spectrum graph, with properties shared by name.
@@ -157,29 +211,38 @@ def graph_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replayed(df: DataFrame, order: str) -> DataFrame:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/')}/replay-{order}-{id(df)}" if base else tempfile.mkdtemp(prefix="wavelath-replay-") + "/rows"
+    """A stream of df's rows, in three files."""
+    path = fresh_path(df.sparkSession, "replay")
     for k in range(3):
-        df.where(F.pmod(F.expr(f"{order} div 8"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/all")
-    return df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/all")
+        df.where(F.pmod(F.expr(f"{order} div 8"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def stream_stov(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stateful.stov(_replayed(R.v49_packets(spark, sf_dir), "seq"), FRAME)
-    return complex_form(stateful.run_to_end(rows, "wavelath_stov"))
+    return complex_form(stateful.run_to_end(rows, "stov"))
 
 
 def stream_exp_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stateful.exp_smooth(_replayed(R.real_frames(spark, sf_dir).select("channel", "frame", "psd"), "frame"), ALPHA)
-    return long_form(stateful.run_to_end(rows, "wavelath_smooth"), "psd", "v")
+    rows = stateful.exp_smooth(_replayed(R.real_frames(spark, sf_dir), "frame"), ALPHA)
+    return long_form(stateful.run_to_end(rows, "smooth"), "psd", "v")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.select("win", F.col("ts.sec").alias("sec"), F.posexplode("counts").alias("bin", "n")).select("win", "sec", F.col("bin").cast("long").alias("bin"), "n")
 
 
 def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stateful.run_to_end(stateful.histogram(_replayed(_blocks(spark, sf_dir), "block_seq"), BINS, FLUSH), "wavelath_hist")
-    return rows.select("win", "sec", F.posexplode("counts").alias("bin", "n")).select("win", "sec", F.col("bin").cast("long").alias("bin"), "n")
+    rows = stateful.histogram_blocks(_replayed(_blocks(spark, sf_dir), "block_seq"), BINS, FLUSH)
+    return _counts(stateful.run_to_end(rows, "histogram"))
 
 
-QUERIES = {f.__name__: f for f in (window_blackman_harris, window_hamming, window_power_sum, samples_int16_to_f64, v49_parse_fields, sdds_parse_time, v49_filter_data, v49_context, packet_slots, stov_frames, stov_frame_timestamps, fft_spectrum, fft_shifted, fft_shift_odd, psd_db, psd_zero_power, exp_smooth, exp_smooth_passthrough, histogram_counts, histogram_flush_windows, byte_limited_sink, frame_limited_sink, graph_psd, stream_stov, stream_exp_smooth, stream_histogram)}
+def stream_histogram_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stateful.histogram(_replayed(R.v49_packets(spark, sf_dir), "seq"), 1060, PACKET_BLOCK, BINS, PACKET_FLUSH)
+    return _counts(stateful.run_to_end(rows, "histogram"))
+
+
+QUERIES = {f.__name__: f for f in (window_blackman_harris, window_hamming, window_power_sum, samples_int16_to_f64, v49_parse_fields, sdds_parse_time, integer_kinds, v49_filter_data, v49_context, packet_slots, stov_frames, stov_frame_timestamps, stov_repeated_seq, stov_single, sdds_frames, frame_accessors, window_single, rfft_spectrum, fft_spectrum, fft_shifted, fft_shift_odd, psd_db, psd_zero_power, exp_smooth, exp_smooth_passthrough, histogram_counts, histogram_flush_windows, histogram_packets, byte_limited_sink, frame_limited_sink, graph_psd, stream_stov, stream_exp_smooth, stream_histogram, stream_histogram_packets)}
 
 _BH = "(0.35875 - 0.48829 * cos(2 * pi() * {k} / {n}) + 0.14128 * cos(4 * pi() * {k} / {n}) - 0.01168 * cos(6 * pi() * {k} / {n}))"
 _HAM = "(0.54 - 0.46 * cos(2 * pi() * {k} / ({n} - 1)))"
@@ -207,6 +270,26 @@ c as (select win, max(b) as sec from w group by win having max(total) > {FLUSH})
 h as (select win, greatest(0, least(255, i + 128)) as bin, count(*) as n from v join w on w.b = v.pos // {BLOCK} group by 1, 2)
 select c.win, c.sec, t.bin::bigint as bin, coalesce(h.n, 0)::bigint as n from c cross join range(256) t(bin) left join h on h.win = c.win and h.bin = t.bin"""
 _STOV = f"with {_FR} select frame, bin, i::double as re, q::double as im from f join g using (frame)"
+_PACKET_FLUSH = f"""with recursive {_V}, b as (select pkt // {PACKET_BLOCK} as b, min(pkt) + 1704067200 as sec, count(*) filter (pkt % 5 <> 4) as n from v group by 1),
+w as (select b, 0::bigint as win, n as total from b where b = 0
+  union all select b.b, case when w.total > {PACKET_FLUSH} then w.win + 1 else w.win end, case when w.total > {PACKET_FLUSH} then b.n else w.total + b.n end from w join b on b.b = w.b + 1),
+c as (select win, max(b.sec) as sec from w join b using (b) group by win having max(total) > {PACKET_FLUSH}),
+h as (select win, greatest(0, least(255, i + 128)) as bin, count(*) as n from v join w on w.b = v.pkt // {PACKET_BLOCK} where pkt % 5 <> 4 group by 1, 2)
+select c.win, c.sec, t.bin::bigint as bin, coalesce(h.n, 0)::bigint as n from c cross join range(256) t(bin) left join h on h.win = c.win and h.bin = t.bin"""
+_SWAP = "(({x} & 255) * 256 + ({x} >> 8))"
+_KINDS = f"""with {_V}, u as (select pkt, pos % 256 as k, i & 65535 as i, q & 65535 as q from v where pkt % 5 <> 4),
+x as (select pkt, k, q as b2, {_SWAP.format(x="q")} as l2, i::hugeint * 65536 + q as b4, {_SWAP.format(x="q")}::hugeint * 65536 + {_SWAP.format(x="i")} as l4 from u where k < 4),
+p as (select pkt, max(b2) filter (k = 0)::hugeint as b2, max(l2) filter (k = 0)::hugeint as l2, max(b4) filter (k = 1) as b4, max(l4) filter (k = 1) as l4,
+  max(b4) filter (k = 2) * 4294967296 + max(b4) filter (k = 3) as b8, max(l4) filter (k = 3) * 4294967296 + max(l4) filter (k = 2) as l8 from x group by pkt having count(*) = 4),
+y as ({" union all ".join(f"select pkt, '{n}' as n, {swap} as byteswap, {size} as bits, {c} as v from p" for n, size in (("2", 16), ("4", 32), ("8", 64)) for c, swap in ((f"b{n}", "true"), (f"l{n}", "false")))})
+select pkt as seq, 'u' || n as kind, byteswap, v::double as v from y union all select pkt, 'i' || n, byteswap, (case when v >= (2::hugeint ** (bits - 1))::hugeint then v - (2::hugeint ** bits)::hugeint else v end)::double from y"""
+_SINGLE = "({a}::float::double - {b}::float::double * cos(2 * pi() * n / 63))::float"
+
+
+def _bh_single() -> str:
+    terms = " ".join(f"{sign} {a}::float::double * cos({2 * j} * pi() * n / {N})" for j, (sign, a) in enumerate(zip("+-+-", S.BLACKMAN_HARRIS, strict=True)))
+    return f"({terms})::float"
+
 
 ORACLES = {
     "window_blackman_harris": f"select n, round({_BH.format(k='n', n=N)}, 9) + 0.0 as w from range({N}) t(n)",
@@ -215,12 +298,20 @@ ORACLES = {
     "samples_int16_to_f64": f"with {_V} select pkt as seq, pos % 256 as k, i::double as i, q::double as q from v where pkt % 5 <> 4",
     "v49_parse_fields": f"""with {_K} select pkt as seq, case when pkt % 5 = 4 then 4 else 1 end::bigint as ptype, 77::bigint as stream_id, case when pkt % 3 = 0 then '0012345600010002' else '' end as class_id,
   1704067200 + pkt as sec, pkt * 1000000 as frac, case when pkt % 2 = 1 and pkt % 5 <> 4 then 0 else -1 end::bigint as trailer, case when pkt % 5 = 4 then 0 else 4 * n end::bigint as n_bytes, false as _corrupt from k""",
-    "sdds_parse_time": "select id as seq, t as ttag, id * 7 as ttage, t // 4000000000 as sec, (t % 4000000000) * 250 as ps, 1024::bigint as n_bytes from (select range as id, range * 40000000003 + 123 as t from range(100))",
+    "sdds_parse_time": f"with {_K} select pkt as seq, t as ttag, pkt * 7 as ttage, t // 4000000000 as sec, (t % 4000000000) * 250 as ps, 1024::bigint as n_bytes from (select pkt, pkt * {R.SDDS_STEP} + {R.SDDS_FIRST} as t from k)",
+    "integer_kinds": _KINDS,
     "v49_filter_data": f"with {_K} select pkt as seq, 1::bigint as ptype from k where pkt % 5 <> 4",
     "v49_context": f"with {_K} select pkt as seq, 0::bigint as n_bytes from k where pkt % 5 = 4",
     "packet_slots": f"with {_K} select pkt // 8 as block_seq, pkt % 8 as slot, 1060::bigint as n_bytes from k",
     "stov_frames": _STOV,
     "stov_frame_timestamps": f"with {_FR} select frame, 1704067200 + pkt as sec, pkt * 1000000 as ps from f join g using (frame) where bin = 0",
+    "stov_repeated_seq": _STOV,
+    "stov_single": f"with {_D}, x as (select 2 * p as k, i as v from d union all select 2 * p + 1, q from d) select k // {FRAME} as frame, k % {FRAME} as bin, v::double as v from x where k // {FRAME} < (select count(*) // {FRAME} from x)",
+    "sdds_frames": f"with {_K}, n as (select 256 * count(*) as n from k) select range // {FRAME} as frame, range % {FRAME} as bin, coalesce(i, 0)::double as re, coalesce(q, 0)::double as im from range((select n // {FRAME} * {FRAME} from n)) left join v on pos = range",
+    "frame_accessors": "select vec_id as frame, round(embedding[4]::double, 6) + 0.0 as third, len(embedding)::bigint as n, 8 * len(embedding)::bigint as n_bytes from embeddings",
+    "rfft_spectrum": f"""select vec_id as frame, k as bin, round(sum(w * v * cos(2 * pi() * k * n / 64)), 6) + 0.0 as re, round(-sum(w * v * sin(2 * pi() * k * n / 64)), 6) + 0.0 as im
+  from (select vec_id, n, embedding[n + 1]::double as v, {_HAM.format(k="n", n=64)} as w from embeddings, range(64) t(n)), range(33) s(k) group by vec_id, k""",
+    "window_single": f"select 'blackman_harris' as name, n, round({_bh_single()}::double, 6) + 0.0 as w from range({N}) t(n) union all select 'hamming', n, round({_SINGLE.format(a=0.54, b=0.46)}::double, 6) + 0.0 from range({N}) t(n)",
     "fft_spectrum": f"with {_dft(_E, '1.0')} select frame, k as bin, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from x",
     "fft_shifted": f"with {_dft(_E, _HAM.format(k='n', n=32))} select frame, (k + 16) % 32 as bin, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from x",
     "fft_shift_odd": "select range as pos, (range + 2) % 5 as v from range(5)",
@@ -230,10 +321,15 @@ ORACLES = {
     "exp_smooth_passthrough": "select vec_id as frame, bin, round(embedding[bin + 1]::double, 6) + 0.0 as v from embeddings, range(64) t(bin)",
     "histogram_counts": f"with {_V}, h as (select greatest(0, least(255, i + 128)) as bin, count(*) as n from v group by 1) select t.bin, coalesce(h.n, 0)::bigint as n from range(256) t(bin) left join h using (bin)",
     "histogram_flush_windows": _FLUSH,
-    "byte_limited_sink": f"with {_K}, s as (select pkt, 4 * n as b, coalesce(sum(4 * n) over (order by pkt rows between unbounded preceding and 1 preceding), 0)::bigint as byte_at from k where pkt % 5 <> 4) select pkt as seq, byte_at, least(b, {LIMIT} - byte_at)::bigint as n_bytes from s where byte_at < {LIMIT}",
-    "frame_limited_sink": f"select vec_id as frame, vec_id * 512 as byte_at, least(512, {LIMIT} - vec_id * 512)::bigint as n_bytes from embeddings where vec_id * 512 < {LIMIT}",
+    "histogram_packets": _PACKET_FLUSH,
+    "byte_limited_sink": f"""with {_V}, k as (select pkt, count(*) as n, string_agg(printf('%04X%04X', i & 65535, q & 65535), '' order by pos) as h from v group by pkt),
+  s as (select pkt, h, 4 * n as b, coalesce(sum(4 * n) over (order by pkt rows between unbounded preceding and 1 preceding), 0)::bigint as byte_at from k where pkt % 5 <> 4)
+  select pkt as seq, byte_at, least(b, {LIMIT} - byte_at)::bigint as n_bytes, md5(left(h, (2 * least(b, {LIMIT} - byte_at))::bigint)) as digest from s where byte_at < {LIMIT}""",
+    "frame_limited_sink": f"""select vec_id as frame, vec_id * 512 as byte_at, least(512, {LIMIT} - vec_id * 512)::bigint as n_bytes,
+  round(list_sum(list_transform(embedding[1:(least(512, {LIMIT} - vec_id * 512) // 8)], lambda x: x::double)), 6) + 0.0 as total from embeddings where vec_id * 512 < {LIMIT}""",
     "graph_psd": f"with {_D}, {_dft('select p // 32 as frame, p % 32 as n, i::double as re, q::double as im from d where p // 32 < (select count(*) // 32 from d)', _BH.format(k='n', n=32))} {_DB}",
     "stream_stov": _STOV,
     "stream_exp_smooth": _SMOOTH,
     "stream_histogram": _FLUSH,
+    "stream_histogram_packets": _PACKET_FLUSH,
 }

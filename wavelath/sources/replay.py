@@ -35,11 +35,18 @@ def v49_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.lit("0").alias("channel"), F.col("pkt").alias("seq"), pkt.alias("pkt"), (F.col("pkt") + EPOCH).alias("recv_sec"), F.lit(0).cast("long").alias("recv_ps"))
 
 
-def sdds_packets(spark: SparkSession, n: int = 100) -> DataFrame:
-    """SDDS packets with ticks id * 40000000003 + 123."""
-    ticks = F.col("id") * F.lit(40_000_000_003) + 123
-    pkt = F.unhex(F.concat(F.lit("00" * 8), P.number(ticks, 8), P.number(F.col("id") * 7, 4), F.lit("00" * 36), F.repeat(P.number(F.col("id"), 2), F.lit(512))))
-    return spark.range(n).select(F.lit("0").alias("channel"), F.col("id").alias("seq"), pkt.alias("pkt"), F.lit(0).cast("long").alias("recv_sec"), F.lit(0).cast("long").alias("recv_ps"))
+#: Fixed value: SDDS time tags of packets that stand for events, in ticks between packets and of the first one.
+SDDS_STEP, SDDS_FIRST = 40_000_000_003, 123
+
+
+def sdds_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SDDS packets of iq_samples, 256 in each; the last one is filled up with zeros."""
+    pair = F.concat(P.number(F.pmod("i", F.lit(65536)).cast("long"), 2), P.number(F.pmod("q", F.lit(65536)).cast("long"), 2))
+    held = iq_samples(spark, sf_dir).groupBy("pkt").agg(F.sort_array(F.collect_list(F.struct("pos", pair.alias("h")))).alias("s"))
+    payload = F.rpad(F.array_join(F.transform("s", lambda x: x["h"]), ""), 2 * P.SDDS_PAYLOAD, "0")
+    ticks = F.col("pkt") * F.lit(SDDS_STEP) + SDDS_FIRST
+    pkt = F.unhex(F.concat(F.lit("00" * 8), P.number(ticks, 8), P.number(F.col("pkt") * 7, 4), F.lit("00" * 36), payload))
+    return held.select(F.lit("0").alias("channel"), F.col("pkt").alias("seq"), pkt.alias("pkt"), (F.col("pkt") + EPOCH).alias("recv_sec"), F.lit(0).cast("long").alias("recv_ps"))
 
 
 def complex_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
