@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path, shared_dir, staged
+
 #: Java pattern of the separators between words: space and the ASCII controls tab to return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["SPACE", "WORD", "components", "dealt", "fresh_path", "shared_dir", "small_batches", "staged", "table", "with_default"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.environ.setdefault("WAVELATH_TEST_DIR", tempfile.mkdtemp(prefix="wavelath-"))
-    return found.rstrip("/")
-
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out anew: an aggregate that is joined by its own key would else share a stage with the join,
+    and a hot key's rows could not be split; now both sides of the join are plain shuffles."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, in files that outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what one Arrow batch holds, so that very long texts don't fill a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, width: int = 1 << 26) -> None:
+    """Bounds what one Arrow batch of this session holds, rows and bytes, so that very long texts don't fill a Python worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", width)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def with_default(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -49,24 +42,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round each vertex hands its least known neighbour to all its neighbours
     (hook to the least neighbour, then shorten), which halves the remaining paths,
-    so the rounds grow with the logarithm of the longest path. Each round is
-    written to the shared folder. Stars are the worst degree: the sums below them
-    are taken map-side first. No edges: no rows.
+    so the rounds grow with the logarithm of the longest path. Each round is written to
+    the shared folder. Joins by a vertex with very many neighbours can be split. No edges: no rows.
     """
     links = staged(edges.where("a is not null and b is not null and a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "edges")
+    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+    now = state(links)
     for _ in range(rounds):
+        if not now[0]:
+            break
         # Large star: each vertex links its larger neighbours to the least of its neighbours and itself.
         both = links.selectExpr("a as u", "b as v").unionAll(links.selectExpr("b as u", "a as v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
+        low = dealt(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m"))
         large = both.where("v > u").join(low, "u").selectExpr("m as a", "v as b").where("a <> b").distinct()
         # Small star: each vertex links its smaller neighbours and itself to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").selectExpr("m", "a", "b")
-        new = staged(small.where("a <> m").selectExpr("m as a", "a as b").unionAll(small.selectExpr("m as a", "b")).distinct(), "edges")
-        same = new.join(links, ["a", "b"], "left_semi").count()
-        done = same == new.count() == links.count()
-        links = new
-        if done:
+        small = large.join(dealt(low), "b").where("a <> m").selectExpr("m as a", "a as b")
+        links = staged(small.unionAll(low.selectExpr("m as a", "b")).distinct(), "edges")
+        last, now = now, state(links)
+        if last == now:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -1,27 +1,26 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is five words in a row (a text of one to four words is one shingle);
-its weight is its count in the text times an inverse document frequency. That is
-1 up to a share THETA of all documents, and falls with the logarithm to FLOOR
-for more frequent ones. So exact counts are needed only for shingles over THETA,
-of which there are at most (mean shingles of a document) / THETA, however many
-documents there are. They are found in two passes: each task's frequent
-shingles with a bound for those it leaves out, then exact counts of what may
-exceed THETA.
+A shingle is five words in a row (a text of one to four words is one shingle). Its
+weight is its count in the text times a smoothed inverse document frequency,
+ln(1 / (share * THETA)), share being its part of all documents, THETA at least; given
+as a factor from 1 (share up to THETA) to 0.5 (every document). So exact document
+frequencies, over all documents, are needed only for shingles over THETA, of which there are at most (mean
+shingles of a document) / THETA, however many documents there are. They are found in
+two passes: each task's frequent shingles with a bound for those it leaves out,
+then exact counts of what may exceed THETA.
 
 Each text gets SAMPLES consistent weighted samples, cut into BANDS. All texts that
-agree in a band are verified by their exact similarity over whole texts, the
-greater of weighted Jaccard with and without the frequency factor, however many of
-their other samples agree: each with the band's first text, and then those
-outside the band's largest component with all others, in tiles of bounded size
-that skip pairs already in one component and give only a spanning forest of the
-links. Bands of the same texts are verified once. No cap leaves a pair out; what
-is lost are pairs that share no band.
-
-Equal texts are one class from the start, by a 128-bit digest. null text: empty.
+agree in a band are verified by weighted Jaccard over whole texts, which alone
+decides: each with the band's first text, and then those outside the band's
+largest component with all others, in tiles of bounded size that give only a
+spanning forest of the links. Bands of the same texts are verified once. No cap leaves
+a pair out; what is lost are pairs that share no band.
+
+Equal texts are one class from the start, by a 128-bit digest; texts, not keys, are
+what is linked, so rows of one key with other texts don't matter. null text: empty.
 Texts without words: a class with equal texts alone. null key: class null, kept.
-Repeated rows: same class. No rows: no rows. Only the key and text are read;
-other columns pass through dedup().
+Repeated rows: same class. Very long texts: hashed in parts, in tiles of their own. No rows: no rows. Only
+the key and text are read; other columns pass through dedup(), inner names start with two underscores.
 """
 
 from __future__ import annotations
@@ -30,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, staged, with_default
+from .common import components, dealt, small_batches, staged, with_default
 from .spans import SPAN, hashes, joined, mix, words
 from .spans import grouped as grouped_texts
 
@@ -42,12 +40,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLES, BANDS = 48, 16
 ROWS = SAMPLES // BANDS
-#: Share of documents from which a shingle weighs less, and the least factor.
-THETA, FLOOR = 0.01, 0.8
+#: Share of documents from which a shingle weighs less.
+THETA = 0.001
 #: Shingles that a task counts at once.
 SEGMENT = 1 << 22
-#: Texts of one side of a tile.
-TEXTS = 400
+#: Texts of one side of a tile, and their bytes, as means.
+TEXTS, BYTES = 400, 1 << 24
 #: Members of a group verified in one place against its first text.
 PART = 500
 
@@ -97,17 +95,36 @@ def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 class Idf:
     """The factor of shingles: 1, or less for the frequent ones it holds."""
 
-    def __init__(self, n_docs: int = 0, frequent: dict[int, int] | None = None):
-        found = sorted((frequent or {}).items())
-        self.hashes = np.array([h for h, _ in found], np.uint64)
-        df = np.array([n for _, n in found], np.float64)
-        self.factor = np.clip(np.log(n_docs / df) / np.log(1 / THETA), FLOOR, 1.0) if found else np.zeros(0)
+    def __init__(self, n_docs: int = 0, hashes: np.ndarray | None = None, df: np.ndarray | None = None):
+        order = np.argsort(hashes) if hashes is not None else np.zeros(0, np.int64)
+        self.hashes = hashes[order] if hashes is not None else np.zeros(0, np.uint64)
+        self.factor = 0.5 + 0.5 * np.log(n_docs / df[order]) / np.log(1 / THETA) if len(order) else np.zeros(0)
+        self.index = Index(self.hashes)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes) or not len(h):
-            return np.ones(len(h))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.factor[at], 1.0)
+        out = np.ones(len(h))
+        at, found = self.index.find(h)
+        out[at] = self.factor[found]
+        return out
+
+
+class Index:
+    """Places of hashes in an ascending array of them; a table of leading bits turns most others away."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = np.uint64(64 - min(24, max(8, 4 + len(hashes).bit_length())))
+        self.may = np.zeros(1 << (64 - int(self.bits)), bool)
+        self.may[hashes >> self.bits] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h are held, and where."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.may[h >> self.bits])
+        where = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        same = self.hashes[where] == h[at]
+        return at[same], where[same]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -118,6 +135,10 @@ def frequencies(docs: DataFrame) -> Idf:
     """The document frequencies over THETA, counted over all rows (text)."""
     spark = docs.sparkSession
     small_batches(spark)
+    # A task of few documents can leave nothing out; so many small ones are read together that each has about 4 / THETA.
+    tasks = int(docs.count() * THETA / 4) + 1
+    rows = docs.select("text")
+    rows = rows.coalesce(tasks) if rows.rdd.getNumPartitions() > tasks else rows
 
     def heavy(batches):
         held: list[np.ndarray] = []
@@ -146,7 +167,7 @@ def frequencies(docs: DataFrame) -> Idf:
         if spare or held:
             yield from counted(spare + held)
 
-    seen = staged(docs.select("text").mapInArrow(heavy, "h long, n long, docs long, left long, size long"), "heavy")
+    seen = staged(rows.mapInArrow(heavy, "h long, n long, docs long, left long, size long"), "heavy")
     # The row of a segment as a whole has left below 0: -1 less the most it may hold of a shingle it leaves out.
     total = seen.where("left < 0").agg(F.sum("docs"), F.sum("size"), F.sum(-1 - F.col("left"))).first()
     n_docs, n_shingles, n_left = (x or 0 for x in total)
@@ -156,7 +177,7 @@ def frequencies(docs: DataFrame) -> Idf:
     may = sums.where(F.col("n") + n_left - F.col("left") > THETA * n_docs)
     # All segments together leave out at most half of THETA, so such a shingle was counted over THETA / 2.
     bound = int(n_shingles / n_docs / (THETA / 2)) + 1
-    found = np.sort(np.array([r[0] for r in may.select("h").limit(bound + 1).collect()], np.int64).view(np.uint64))
+    found = np.sort(_column(may.select("h").limit(bound + 1), "h").view(np.uint64))
     if len(found) > bound:
         raise AssertionError("more frequent shingles than there can be")
     if not len(found):
@@ -164,17 +185,20 @@ def frequencies(docs: DataFrame) -> Idf:
     shared = spark.sparkContext.broadcast(found)
 
     def exact(batches):
-        wanted = shared.value
-        counts = np.zeros(len(wanted), np.int64)
+        index = Index(shared.value)
+        counts = np.zeros(len(shared.value), np.int64)
         for b in batches:
             for h, _ in shingles(with_default(b, "text")):
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                counts[at[wanted[at] == h]] += 1
+                counts[index.find(h)[1]] += 1
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(wanted[at]), pa.int64()), pa.array(counts[at], pa.int64())], ["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(shared.value[at]), pa.int64()), pa.array(counts[at], pa.int64())], ["h", "n"])
+
+    counts = rows.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > THETA * n_docs).toArrow()
+    return Idf(n_docs, counts.column("h").to_numpy().view(np.uint64), counts.column("n").to_numpy())
+
 
-    counts = docs.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > THETA * n_docs)
-    return Idf(n_docs, {int(np.int64(r["h"]).view(np.uint64)): r["n"] for r in counts.collect()})
+def _column(rows: DataFrame, name: str) -> np.ndarray:
+    return rows.toArrow().column(name).to_numpy().copy()
 
 
 class Sampler:
@@ -254,41 +278,39 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return _signed(mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)))
 
 
+def weights(text: tuple[np.ndarray, np.ndarray], idf: Idf) -> np.ndarray:
+    return text[1] * idf.of(text[0])
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: Idf) -> float:
-    """The greater of weighted Jaccard by counts times factors, and by counts."""
+    """Weighted Jaccard of two texts' shingles."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     same = b[0][at] == a[0]
-    common = np.minimum(a[1][same], b[1][at[same]])
-    plain = common.sum() / (a[1].sum() + b[1].sum() - common.sum())
-    if plain >= THRESHOLD:
-        return float(plain)
-    both = (common * idf.of(a[0][same])).sum()
-    return float(max(plain, both / ((a[1] * idf.of(a[0])).sum() + (b[1] * idf.of(b[0])).sum() - both)))
+    wa, wb = weights(a, idf), weights(b, idf)
+    common = np.minimum(wa[same], wb[at[same]]).sum()
+    return float(common / (wa.sum() + wb.sum() - common))
+
+
+def digested(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with __t1 and __t2, which name a text by 128 bits; null is the empty text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn("__t1", F.xxhash64(t)).withColumn("__t2", F.xxhash64(F.lit(1), t))
 
 
 def signed_texts(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, t1, t2 (digest of the text), bands, sig of every row; idf is a broadcast."""
+    """doc_id, __t1, __t2, size (bytes) and bands of every row; idf is a broadcast."""
 
     def run(batches):
         sampler = Sampler()
         for b in batches:
             texts = with_default(b, "text")
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), "<i8").reshape(-1, 2)
             sigs = sampler.signatures(shingles(texts), idf.value)
             bands = [None if s is None else band_keys(s) for s in sigs]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array([None if s is None else s.astype("<u2").tobytes() for s in sigs], pa.binary())], ["doc_id", "t1", "t2", "bands", "sig"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, bands array<long>, sig binary")
-
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "__t1", "__t2")), pa.array([4 * len(t) for t in texts], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "__t1", "__t2", "size", "bands"])
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(-1)
-
-
-def _sigs(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, SAMPLES)
+    return docs.select("doc_id", "__t1", "__t2", "text").mapInArrow(run, "doc_id long, __t1 long, __t2 long, size long, bands array<long>")
 
 
 def grouped(batches, keys: list[str], columns: list[str]) -> Iterator[dict[str, list]]:
@@ -333,35 +355,30 @@ class Sets:
         return x != y
 
 
-def tiled(members: DataFrame, size: int, carry: list[str]) -> DataFrame:
+def tiled(members: DataFrame, size: int, width: int = BYTES) -> DataFrame:
     """Tiles for groups with texts of more than one part: those outside the group's largest part against all.
 
-    members: grp, id, comp and carry. Rows out: grp, p, q, left, right (whether a
-    row is of the tile's left or right side), id, comp and carry, sorted by tile. A
-    side holds about size rows at most.
+    members: grp, v, size, comp. Rows out: grp, p, q, left, right (whether a row is
+    of the tile's left or right side), v, comp. A side holds about size rows, or width bytes.
     """
-    parts = members.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    main = main.selectExpr("grp", "m.comp as main", f"cast(ceil(n / {size}) as int) as ps", f"cast(ceil((n - m.n) / {size}) as int) as qs")
-    rows = members.join(main, "grp").withColumn("p", F.pmod(F.xxhash64("id"), F.col("ps")).cast("int")).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qs")).cast("int"))
+    parts = members.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    main = parts.groupBy("grp").agg(F.max(F.struct("n", "comp", "bytes")).alias("m"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("k")).where("k > 1")
+    side = lambda n, b: f"cast(ceil(greatest({n} / {size}, {b} / {width})) as int)"
+    main = dealt(main.selectExpr("grp", "m.comp as main", f"{side('n', 'bytes')} as ps", f"{side('(n - m.n)', '(bytes - m.bytes)')} as qs"))
+    rows = members.join(main, "grp").withColumn("p", F.pmod(F.xxhash64("v"), F.col("ps")).cast("int")).withColumn("q", F.pmod(F.xxhash64("v", F.lit(1)), F.col("qs")).cast("int"))
     outside = F.col("comp") != F.col("main")
     right = F.transform(F.expr("sequence(0, qs - 1)"), lambda q: F.struct(F.col("p").alias("p"), q.alias("q"), (outside & (q == F.col("q"))).alias("left"), F.lit(True).alias("right")))
     left = F.filter(F.transform(F.expr("sequence(0, ps - 1)"), lambda p: F.struct(p.alias("p"), F.col("q").alias("q"), F.lit(True).alias("left"), F.lit(False).alias("right"))), lambda t: t["p"] != F.col("p"))
     none = F.array().cast("array<struct<p:int,q:int,left:boolean,right:boolean>>")
-    tiles = rows.withColumn("t", F.explode(F.concat(right, F.when(outside, left).otherwise(none)))).select("grp", "t.*", "id", "comp", *carry)
-    return tiles
-
-
-def sorted_tiles(tiles: DataFrame) -> DataFrame:
-    return tiles.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "id")
+    return rows.withColumn("t", F.explode(F.concat(right, F.when(outside, left).otherwise(none)))).select("grp", "t.*", "v", "comp")
 
 
 def exact(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Spanning edges (a, b) of verified links between a bucket's texts that are not yet of one component: grp, band, id, comp, sig."""
-    tiles = sorted_tiles(tiled(members, TEXTS, ["sig", "band"]).join(texts.withColumnRenamed("doc_id", "id"), "id"))
+    """Spanning edges (a, b) between the components of a bucket's texts (grp, v, size, comp) that verified links join."""
+    tiles = tiled(members, TEXTS).join(texts, "v").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "v")
 
     def run(batches):
-        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "id", "comp", "sig", "band", "text"]):
+        for g in grouped(batches, ["grp", "p", "q"], ["left", "right", "comp", "text"]):
             out = links_in(g, idf.value)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -370,109 +387,112 @@ def exact(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
 
 def links_in(g: dict[str, list], idf: Idf) -> list[tuple[int, int]]:
-    """Spanning edges of the links between the left and the right rows of a tile.
+    """Edges between components of the links between the left and the right rows of a tile.
 
-    Texts that agree in a band before the tile's own are left to that band.
+    Only shingles that two of the tile's texts hold can be common to a pair: each left text meets, through
+    the places of its shingles, just those texts that share some with it, and the sums over them are exact.
     """
-    ids, own = g["id"], shingles([t or "" for t in g["text"]])
-    sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, BANDS, ROWS)
-    left, right = np.flatnonzero(g["left"]), np.flatnonzero(g["right"])
-    sets, first, out = Sets(len(ids)), {}, []
-    for k, c in enumerate(g["comp"]):
-        sets.join(first.setdefault((c, ids[k]) if c is None else c, k), k)
-    # Distinct shingles numbered, with their counts and factors, text after text.
+    comp, own = g["comp"], shingles([t or "" for t in g["text"]])
+    left, right = np.flatnonzero(g["left"]), np.array(g["right"], bool)
+    sets, first, out = Sets(len(comp)), {}, []
+    for k, c in enumerate(comp):
+        sets.join(first.setdefault(c, k), k)
     size = np.array([len(h) for h, _ in own])
     start = np.cumsum(size) - size
     h, number = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
-    count, factor, of_first = np.concatenate([n for _, n in own]), idf.of(h), np.zeros(len(h), np.int64)
-    plain = np.add.reduceat(count, start)
-    heavy = np.add.reduceat(count * factor[number], start)
+    weight = np.concatenate([n for _, n in own]) * idf.of(h)[number]
+    total = np.add.reduceat(weight, start)
+    # The holders of each shingle, shingle after shingle.
+    holders = np.bincount(number, minlength=len(h))
+    order = np.argsort(number, kind="stable")
+    owner, held = np.repeat(np.arange(len(comp)), size)[order], weight[order]
+    begin = np.cumsum(holders) - holders
     for i in left.tolist():
-        agree = sig[right] == sig[i]
-        near = np.flatnonzero(~agree[:, : g["band"][i]].all(-1).any(-1))
-        near = near[[sets.find(i) != sets.find(j) for j in right[near].tolist()]] if len(near) else near
-        # Likeliest first, in steps: once two texts are in one component, no further pair of theirs is compared.
-        near = right[near[np.argsort(-agree[near].sum((1, 2)), kind="stable")]]
         mine = slice(start[i], start[i] + size[i])
-        of_first[number[mine]] = count[mine]
-        while len(near):
-            step, near = near[:32], near[32:]
-            at = np.concatenate([np.arange(start[j], start[j] + size[j]) for j in step])
-            heads = np.cumsum(size[step]) - size[step]
-            common = np.minimum(of_first[number[at]], count[at])
-            a, b = np.add.reduceat(common, heads), np.add.reduceat(common * factor[number[at]], heads)
-            score = np.maximum(a / (plain[step] + plain[i] - a), b / (heavy[step] + heavy[i] - b))
-            for j in step[score >= THRESHOLD].tolist():
-                if sets.join(i, j):
-                    out.append((ids[i], ids[j]))
-            if len(near):
-                near = near[[sets.find(i) != sets.find(j) for j in near.tolist()]]
-        of_first[number[mine]] = 0
+        few = holders[number[mine]] > 1
+        num, w = number[mine][few], weight[mine][few]
+        n = holders[num]
+        at = np.arange(n.sum()) + np.repeat(begin[num] - (np.cumsum(n) - n), n)
+        common = np.bincount(owner[at], np.minimum(held[at], np.repeat(w, n)), len(comp))
+        for j in np.flatnonzero(right & (common >= THRESHOLD * (total + total[i] - common))).tolist():
+            if sets.join(i, j):
+                out.append((comp[i], comp[j]))
     return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches THRESHOLD; texts: doc_id, text, one row each.
+    """The pairs (a, b) whose exact similarity reaches THRESHOLD; texts: v, text, one row each.
 
     Pairs meet by their first text, PART of them in one place, each text of a place read once.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / float(PART)).cast("int").alias("parts"))
-    rows = pairs.join(parts, "a").selectExpr("a", "b as id", f"cast(pmod(xxhash64(b), parts) as int) as part", "1 as kind")
-    firsts = parts.select("a", F.col("a").alias("id"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("kind"))
-    met = rows.unionByName(firsts).join(texts.withColumnRenamed("doc_id", "id"), "id")
-    met = met.select("a", "part", "kind", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "kind", "id")
+    parts = dealt(pairs.groupBy("a").agg(F.ceil(F.count("*") / float(PART)).cast("int").alias("parts")))
+    rows = pairs.join(parts, "a").selectExpr("a", "b as v", "cast(pmod(xxhash64(b), parts) as int) as part", "1 as kind")
+    firsts = parts.select("a", F.col("a").alias("v"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("kind"))
+    met = rows.unionByName(firsts).join(texts, "v").select("a", "part", "kind", "v", "text").repartition("a", "part").sortWithinPartitions("a", "part", "kind", "v")
 
     def run(batches):
         now, first = None, None
         for b in batches:
             own = shingles(with_default(b, "text"))
             out = []
-            for a, part, kind, i, s in zip(*(b.column(c).to_pylist() for c in ("a", "part", "kind", "id")), own, strict=True):
+            for a, part, kind, v, s in zip(*(b.column(c).to_pylist() for c in ("a", "part", "kind", "v")), own, strict=True):
                 if kind == 0:
                     now, first = (a, part), s
                 elif now == (a, part) and similarity(first, s, idf.value) >= THRESHOLD:
-                    out.append((a, i))
+                    out.append((a, v))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
 
-def in_parts(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """rows (id) with comp, their component, or themselves."""
-    return rows.join(label.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, class_id (the least doc_id of its group), kept of each row of docs."""
+def classified(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, __t1, __t2 of each row of docs with a key, and class (doc_id, __t1, __t2): the least of its class."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = digested(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
     idf = spark.sparkContext.broadcast(frequencies(rows))
-    signed = staged(signed_texts(rows, idf), "signed")
-    given = signed.where("doc_id is not null")
-    reps = staged(given.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("m")).select("t1", "t2", "m.*"), "reps")
-    buckets = reps.where("bands is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("doc_id").alias("id"))
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    shared = staged(buckets.join(first, "bucket"), "buckets")
-    sigs = reps.where("sig is not null").select(F.col("doc_id").alias("id"), "sig")
+    signed = staged(signed_texts(rows, idf), "signed").where("doc_id is not null")
+    # One vertex, v, for each text, numbered as they are written.
+    reps = signed.groupBy("__t1", "__t2").agg(F.min(F.struct("doc_id", "size", "bands")).alias("m")).select("__t1", "__t2", "m.*")
+    reps = staged(reps.withColumn("v", F.monotonically_increasing_id()), "reps")
+    buckets = reps.where("bands is not null").select(F.explode("bands").alias("grp"), "v", "size")
+    first = dealt(buckets.groupBy("grp").agg(F.min("v").alias("a"), F.count("*").alias("n")).where("n > 1").select("grp", "a"))
+    shared = staged(buckets.join(first, "grp"), "buckets")
     # Only texts that share a band are read, at the cost of one shuffle. There may be too many for a broadcast, so none is tried.
-    met = shared.select(F.col("id").alias("doc_id")).distinct().hint("merge")
-    texts = staged(rows.where("doc_id is not null").join(met, "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    found = staged(verified(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), texts, idf).distinct(), "found")
+    met = reps.join(shared.select("v").distinct(), "v", "left_semi").select("doc_id", "__t1", "__t2", "v").hint("merge")
+    texts = staged(rows.join(met, ["doc_id", "__t1", "__t2"]).dropDuplicates(["doc_id", "__t1", "__t2"]).select("v", "text"), "texts")
+    pairs = staged(shared.where("v <> a").select("a", F.col("v").alias("b")).distinct(), "pairs")
+    near = components(verified(pairs, texts, idf)).withColumnRenamed("id", "v").withColumnRenamed("component", "comp")
+    near = staged(near, "near")
     # The first text has met all others of its bucket: only those have to meet. Buckets of the same texts count once.
-    others = shared.where("id <> a").select(F.col("bucket").alias("grp"), "band", "id")
-    sets = others.groupBy("grp").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
-    sides = in_parts(others.join(sets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "grp")).alias("m")).select("m.grp"), "grp"), components(found))
-    open_ = sides.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
-    rest = exact(staged(sides.join(open_, "grp").join(sigs, "id"), "sides"), texts, idf)
-    label = components(found.unionByName(staged(rest.distinct(), "found")))
-    known = reps.select("t1", "t2", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("t1", "t2", F.coalesce("component", "doc_id").alias("class_id"))
-    out = given.select("doc_id", "t1", "t2").join(known, ["t1", "t2"], "left").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    return out.unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
+    others = shared.where("v <> a").select("grp", "v", "size")
+    sets = others.groupBy("grp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")).where("n > 1")
+    sets = dealt(sets.groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp"))
+    part = lambda df: df.join(near, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    sides = staged(part(others.join(sets, "grp")), "sides")
+    last = dealt(components(exact(sides, texts, idf)).selectExpr("id as comp", "component as last"))
+    known = part(reps.drop("bands")).join(last, "comp", "left").select("__t1", "__t2", "doc_id", F.coalesce("last", "comp").alias("comp"))
+    known = staged(known, "known")
+    least = dealt(known.groupBy("comp").agg(F.min(F.struct("doc_id", "__t1", "__t2")).alias("class")))
+    known = staged(known.join(least, "comp").select("__t1", "__t2", "class"), "classes")
+    return signed.select("doc_id", "__t1", "__t2").join(known, ["__t1", "__t2"])
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, class_id (the least doc_id of its group), kept, class_text of each row of docs.
+
+    class_text names the class by its kept text, where one doc_id holds several texts and so may be the least of several classes.
+    """
+    mine = (F.col("doc_id") == F.col("class.doc_id")) & (F.col("__t1") == F.col("class.__t1")) & (F.col("__t2") == F.col("class.__t2"))
+    name = F.concat(*(F.lpad(F.hex(F.col(f"class.{c}")), 16, "0") for c in ("__t1", "__t2")))
+    out = classified(docs, text, key).select("doc_id", F.col("class.doc_id").alias("class_id"), mine.alias("kept"), name.alias("class_text"))
+    none = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("class_text"))
+    return out.unionByName(none)
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each class: that of the least key. Rows without a key stay."""
-    stay = classes(docs, text, key).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    met = docs.join(stay, docs[key].cast("long") == F.col("__kept"), "left_semi").dropDuplicates([key])
+    """docs with one row of each class: that of the least key and text. Rows without a key stay."""
+    stay = classified(docs, text, key).select("class.*").distinct().withColumnRenamed("doc_id", "__key").hint("merge")
+    rows = digested(docs, text).withColumn("__key", F.col(key).cast("long"))
+    met = rows.join(stay, ["__key", "__t1", "__t2"], "left_semi").dropDuplicates(["__key", "__t1", "__t2"]).select(*docs.columns)
     return met.unionByName(docs.where(F.col(key).isNull()))
