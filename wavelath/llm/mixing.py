@@ -2,24 +2,32 @@
 
 The words of each source, documents in a pseudorandom order, are parted into
 blocks of BLOCK words. The mix is a row of slots in shards of SHARD slots; each
-shard draws how many of its slots every source gets: the whole part of slots
-times share as such, the rest multinomially, so that the counts have the
-shares as means and little spread. A source's slots are numbered through all
-shards, and slot i takes the block that an affine permutation of the source's
-blocks, another one for each pass over them, has at i. Slots and documents meet
-by block index.
-
-The order of documents is by chunk and then by key, with running sums in two
-levels: within chunks, and over the fixed number of chunks of a source. So no
-task orders a whole source. Only one row per source goes to the driver.
+shard draws multinomially how many of its slots every source gets: one draw for each
+slot. What a source draws over its quota (its target in slots) through all
+shards is handed, slot by slot, to the sources that drew under theirs, so that totals meet the targets.
+A source's slots are numbered through all shards, and slot i takes the
+block that an affine permutation of the source's blocks, another one for each pass
+over them, has at i. Slots and documents meet by block index.
+
+Sources are a table, however many there are: their ranks, targets and quotas are
+running sums and a few aggregates, and only scalars go to the driver. The order
+of documents is by chunk (about CHUNK blocks) and then by key; all running sums
+are taken in two levels, within chunks and over chunks, on rows without texts.
+
+mix() gives whole documents: as many copies as the mix takes of their words, rounded so that
+the rounded sums follow the exact ones from document to document; of OFFSETS starting points of that
+rounding, each source gets the one that comes nearest to its target.
 
 null source: a source of its own, ordered last. null or empty text: size 0,
-nothing taken. Repeated rows: taken each on its own. No rows: no rows. Columns
+nothing taken (mix() keeps such a document once). Very long texts: more blocks.
+Repeated rows: taken each on its own. No rows: no rows. Columns
 of other names pass through mix(); inner names start with two underscores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,113 +35,130 @@ from .common import WORD, staged
 
 BLOCK = 64
 SHARD = 4096
-CHUNKS = 1024
+#: Blocks of documents that are put in order in one place, and shards whose slots are numbered in one place.
+CHUNK, SHARDS = 1 << 11, 1 << 12
 #: No document is taken more often than this.
 REPEATS = 3
-#: Primes over 2**31, so none divides a number of blocks.
-PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
-#: A table of more sources than this is refused: their totals are held by the driver.
-MOST_SOURCES = 5_000
+#: Primes over 2**41, so none divides a number of blocks under that.
+PRIMES = (2199023255579, 2199023255617, 2199023255623, 2199023255633, 2199023255677, 2199023255699, 2199023255713, 2199023255717)
+#: Parts of a slot, or of a copy, that sums are taken in, so that they are exact in any order.
+PARTS = 1 << 20
+#: Places of the table in which a drawn number finds its source.
+LOTS = 4096
+OFFSETS = 32
 
 
-def default_weights(sources: list[str | None]) -> list[float]:
+def default_weight(rank: Column, source: Column) -> Column:
     """1, 2, 3, repeating, for sources in order."""
-    return [float(1 + k % 3) for k in range(len(sources))]
-
-
-def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
-    """Words of each source: all words shared by weight, none over repeats times its size, the excess reshared."""
-    total, caps = sum(sizes), [repeats * s for s in sizes]
-    out, open_ = [0.0] * len(sizes), [k for k, s in enumerate(sizes) if s]
-    left = total
-    while open_:
-        weight = sum(weights[k] for k in open_)
-        over = [k for k in open_ if left * weights[k] > caps[k] * weight]
-        if not over:
-            for k in open_:
-                out[k] = left * weights[k] / weight
-            break
-        for k in over:
-            out[k] = float(caps[k])
-            left -= caps[k]
-        open_ = [k for k in open_ if k not in set(over)]
-    return out
+    return 1.0 + rank % 3
 
 
-def uniform(*cols: Column) -> Column:
-    """A pseudorandom number in [0, 1) that depends on cols alone."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / float(1 << 53)
+def before(rows: DataFrame, keys: list[str], chunk: str, order: list, value: Column, out: str) -> DataFrame:
+    """rows with out: the sum of value (long) over rows of the same keys that come before by (chunk, order)."""
+    sums = rows.groupBy(*keys, chunk).agg(F.sum(value).alias("__sum"))
+    ahead = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, chunk, F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).cast("long").alias("__base"))
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(base, [*keys, chunk]).withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long")).drop("__base")
 
 
-def literals(values: list, kind: str) -> Column:
-    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+def product(a: Column, b: Column, n: Column) -> Column:
+    """a * b modulo n, for a, b < n < 2**41, in steps that a long holds."""
+    high, low = F.shiftright(b, 20), b.bitwiseAND(F.lit((1 << 20) - 1))
+    return F.pmod(F.pmod(F.pmod(a * high, n) * (1 << 20), n) + F.pmod(a * low, n), n)
 
 
 class Mix:
     """The plan of a mix over docs; everything about slots follows from the seed and the sources' sizes."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=default_weights, block: int = BLOCK, seed: int = 7, keep: bool = False):
-        """keep: docs' columns stay beside the sizes (and are written with them)."""
-        self.spark, self.block, self.seed = docs.sparkSession, block, seed
-        own = {"__size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long")), "__tie": F.xxhash64(F.col(text))}
-        cols = docs.columns if keep else []
-        sized = docs.select(*cols, F.col(key).alias("__key"), F.col(source).alias("__source"), *(v.alias(k) for k, v in own.items()))
-        self.docs = staged(sized, "mix") if not keep else sized
-        found = self.docs.groupBy("__source").agg(F.sum("__size").alias("size")).orderBy(F.col("__source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
-        self.sources, self.sizes = [r[0] for r in found], [int(r[1]) for r in found]
-        self.targets = targets(self.sizes, weights(self.sources))
-        self.blocks = [-(-s // block) for s in self.sizes]
+    def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Callable[[Column, Column], Column] = default_weight, block: int = BLOCK, seed: int = 7):
+        """weights: a source's weight from its rank among the sources by code point (from 0, null last) and its name."""
+        self.given, self.spark, self.block, self.seed = docs, docs.sparkSession, block, seed
+        size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+        rows = docs.select(F.col(key).alias("__key"), F.col(source).cast("string").alias("__source"), size.alias("__size"), *self.names(docs))
+        self.docs = staged(rows, "mix")
+        self.sources = staged(self._sources(weights), "sources")
+        self.slots_in_all = int(self.sources.agg(F.sum("quota")).first()[0] or 0)
+
+    @staticmethod
+    def names(docs: DataFrame) -> list[Column]:
+        """__r1, __r2: 128 bits that name a row by all its columns (maps can't be hashed)."""
+        cols = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+        return [F.xxhash64(*cols).alias("__r1"), F.xxhash64(F.lit(1), *cols).alias("__r2")]
+
+    def _sources(self, weights) -> DataFrame:
+        """__source, s (its rank), size, target, blocks, quota (slots), lot (quotas before)."""
+        order = F.col("__source").asc_nulls_last()
+        sums = self.docs.groupBy("__source").agg(F.sum("__size").alias("size"))
+        sums = staged(sums.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()), "ranks")
+        rows = before(sums, [], "part", [order], F.lit(1).cast("long"), "s").withColumn("weight", weights(F.col("s"), F.col("__source")).cast("double"))
+        full, cap = rows.where("size > 0 and weight > 0"), F.col("size") * REPEATS
+        total, weight = full.agg(F.sum("size"), F.sum("weight")).first()
+        left, weight, capped = total or 0, weight or 1.0, 0
+        while True:
+            over = F.lit(float(left)) * F.col("weight") > cap * F.lit(weight)
+            n, words, open_ = full.agg(F.count(F.when(over, 1)), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("weight")))).first()
+            if n == capped or not open_:
+                break
+            left, weight, capped = total - words, open_, n
+        over = (F.lit(float(left)) * F.col("weight") > cap * F.lit(weight)) | (F.lit(bool(capped and not open_)))
+        target = F.when((F.col("size") == 0) | (F.col("weight") <= 0), 0.0).when(over, cap.cast("double")).otherwise(F.lit(float(left)) * F.col("weight") / F.lit(weight))
+        rows = rows.withColumn("target", target).withColumn("blocks", F.ceil(F.col("size") / self.block))
+        # A source's slots by the words that its blocks really hold, as the last one may be short.
+        exact = F.when(F.col("size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("size") * PARTS)).otherwise(0).cast("long")
+        rows = before(rows.withColumn("parts", exact), [], "part", [order], F.col("parts"), "ahead")
+        rows = rows.withColumn("quota", F.least(F.expr(f"(ahead + parts + {PARTS // 2}) div {PARTS} - (ahead + {PARTS // 2}) div {PARTS}"), F.col("blocks") * REPEATS))
+        return before(rows, [], "part", [order], F.col("quota"), "lot").select("__source", "s", "part", "size", "target", "blocks", "quota", "lot")
 
     def placed(self) -> DataFrame:
-        """The documents with __s (the source's number) and __at, the words of their source before them."""
-        number = F.array_position(literals([s for s in self.sources if s is not None], "string"), F.col("__source")) - 1
-        number = F.when(F.col("__source").isNull(), F.lit(len(self.sources) - 1)).otherwise(number).cast("int")
-        rows = self.docs.withColumn("__s", number if self.sources else F.lit(0)).withColumn("__chunk", F.pmod(F.xxhash64(F.lit(self.seed), "__key"), F.lit(CHUNKS)).cast("int"))
-        chunks = rows.groupBy("__s", "__chunk").agg(F.sum("__size").alias("__sum"))
-        chunks = chunks.withColumn("__base", F.sum("__sum").over(Window.partitionBy("__s").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("__sum")
-        # Bound of the broadcast: CHUNKS rows a source.
-        rows = rows.join(F.broadcast(chunks) if len(self.sources) <= 200 else chunks, ["__s", "__chunk"])
-        inner = Window.partitionBy("__s", "__chunk").orderBy("__key", "__tie")
-        before = F.coalesce(F.sum("__size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return rows.withColumn("__at", F.coalesce("__base", F.lit(0)) + before).withColumn("__row", F.row_number().over(inner)).drop("__base")
+        """The documents with __s, source_size, target, __at (the words of their source before them) and __row, their number in their chunk."""
+        known = self.sources.select(F.col("__source").alias("__name"), F.col("s").alias("__s"), F.col("size").alias("source_size"), "target", "blocks")
+        rows = self.docs.join(known, F.col("__source").eqNullSafe(F.col("__name")))
+        chunk = F.pmod(F.xxhash64(F.lit(self.seed), "__r1", "__r2"), F.ceil((F.col("blocks") + 1) / CHUNK))
+        rows = rows.withColumn("__chunk", chunk).drop("__source", "__name", "blocks")
+        order = ["__key", "__r1", "__r2"]
+        rows = before(rows, ["__s"], "__chunk", order, F.col("__size"), "__at")
+        return rows.withColumn("__row", F.row_number().over(Window.partitionBy("__s", "__chunk").orderBy(*order)))
+
+    def drawn(self) -> DataFrame:
+        """shard, chunk, s, n: the slots that each shard draws for a source."""
+        n = self.slots_in_all
+        width = -(-n // LOTS) or 1
+        # Some thousand rows and one more for each source: of a size that is known when the join is planned.
+        lots = staged(self.sources.where("quota > 0").select("s", "lot", "quota", F.explode(F.expr(f"sequence(lot div {width}, (lot + quota - 1) div {width})")).alias("place")), "lots")
+        tasks = max(self.spark.sparkContext.defaultParallelism, n >> 22)
+        slots = self.spark.range(0, n, 1, tasks).select(F.expr(f"id div {SHARD}").alias("shard"), F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(n)).alias("x"))
+        found = slots.withColumn("place", F.expr(f"x div {width}")).join(lots, "place").where("x >= lot and x < lot + quota")
+        return staged(found.groupBy("shard", "s").agg(F.count("*").alias("n")).withColumn("chunk", F.expr(f"shard div {SHARDS}")), "drawn")
 
     def draws(self) -> DataFrame:
-        """shard, s, n: the slots that a shard gives to a source."""
-        total = sum(self.sizes)
-        slots = -(-total // self.block)
-        shards, share = -(-slots // SHARD), [t / total if total else 0.0 for t in self.targets]
-        whole = F.when(F.col("id") < shards - 1, F.lit(SHARD)).otherwise(F.lit(slots - (shards - 1) * SHARD))
-        rows = self.spark.range(shards).select(F.col("id").alias("shard"), whole.alias("k"))
-        exact = F.transform(literals(share, "double"), lambda p: p * F.col("k"))
-        rows = rows.withColumn("exact", exact).withColumn("base", F.transform("exact", lambda e: F.floor(e)))
-        odd = F.zip_with("exact", "base", lambda e, b: e - b)
-        rows = rows.withColumn("odd", odd).withColumn("rest", F.col("k") - F.aggregate("base", F.lit(0).cast("long"), lambda a, b: a + b))
-        running = F.aggregate("odd", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
-        rows = rows.withColumn("sums", F.when(F.col("rest") > 0, running))
-        given = rows.select("shard", F.posexplode("base").alias("s", "n"))
-        drawn = rows.where("rest > 0").select("shard", "sums", F.explode(F.expr("sequence(1L, rest)")).alias("j"))
-        drawn = drawn.withColumn("u", uniform(F.lit(self.seed), F.col("shard"), F.col("j")) * F.element_at("sums", -1))
-        drawn = drawn.select("shard", F.least(F.expr("size(filter(sums, x -> x <= u))"), F.lit(len(share) - 1)).alias("s"), F.lit(1).cast("long").alias("n"))
-        return given.unionByName(drawn).groupBy("shard", "s").agg(F.sum("n").alias("n")).where("n > 0")
+        """shard, chunk, s, n: the draws, with what is over a source's quota handed to those under theirs."""
+        drawn = self.drawn()
+        quotas = self.sources.select("s", "part", "quota")
+        rows = before(drawn, ["s"], "chunk", ["shard"], F.col("n"), "start").join(quotas.drop("part"), "s")
+        rows = rows.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("start"))))
+        each = lambda df, n: df.withColumn("x", F.explode(F.expr(f"sequence(first, first + {n} - 1)")))
+        over = rows.where("n > kept").select("shard", "chunk", "s", (F.col("n") - F.col("kept")).alias("more"))
+        over = each(before(over, [], "chunk", ["shard", "s"], F.col("more"), "first"), "more").select("x", "shard", "chunk")
+        total = drawn.groupBy("s").agg(F.sum("n").alias("total"))
+        under = quotas.join(total, "s", "left").withColumn("lack", F.col("quota") - F.coalesce("total", F.lit(0))).where("lack > 0")
+        under = each(before(under, [], "part", ["s"], F.col("lack"), "first"), "lack").select("x", "s")
+        handed = over.join(under, "x").select("shard", "chunk", "s", F.lit(1).cast("long").alias("n"))
+        return rows.where("kept > 0").select("shard", "chunk", "s", F.col("kept").alias("n")).unionByName(handed).groupBy("shard", "chunk", "s").agg(F.sum("n").alias("n"))
 
     def slots(self) -> DataFrame:
         """shard, s, slot, block of the whole mix."""
-        if not sum(self.sizes):
-            return self.spark.createDataFrame([], "shard long, s int, slot long, block long")
-        start = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = self.draws().withColumn("start", start)
-        n = F.element_at(literals(self.blocks, "long"), F.col("s") + 1)
+        if not self.slots_in_all:
+            return self.spark.createDataFrame([], "shard long, s long, slot long, block long")
+        rows = before(staged(self.draws(), "draws"), ["s"], "chunk", ["shard"], F.col("n"), "start").join(self.sources.select("s", "blocks"), "s")
         # A row becomes thousands of slots: the rows are dealt anew, or they would grow in as many tasks as there are sources.
         rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "s")
-        rows = rows.withColumn("blocks", n).select("shard", "s", "blocks", F.explode(F.expr("sequence(start, start + n - 1)")).alias("slot"))
-        rows = rows.where(F.col("slot") < F.col("blocks") * REPEATS)
+        rows = rows.select("shard", "s", "blocks", F.explode(F.expr("sequence(start, start + n - 1)")).alias("slot"))
         turn = F.expr("slot div blocks")
-        factor = F.element_at(literals(list(PRIMES), "long"), (F.pmod(F.xxhash64(F.lit(self.seed), "s", turn), F.lit(len(PRIMES))) + 1).cast("int"))
+        factor = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(self.seed), "s", turn), F.lit(len(PRIMES))) + 1).cast("int"))
         shift = F.pmod(F.xxhash64(F.lit(self.seed + 1), "s", turn), F.col("blocks"))
-        # The factor is prime and no divisor of blocks, which stays under 2**31: i -> factor * i + shift is one to one.
-        block = F.pmod(F.pmod(factor, F.col("blocks")) * F.pmod("slot", "blocks") + shift, F.col("blocks"))
+        # The factor is prime and no divisor of blocks: i -> factor * i + shift is one to one.
+        block = F.pmod(product(F.pmod(factor, F.col("blocks")), F.pmod("slot", "blocks"), F.col("blocks")) + shift, F.col("blocks"))
         return rows.select("shard", "s", "slot", block.alias("block"))
 
     def uses(self) -> DataFrame:
@@ -143,21 +168,32 @@ class Mix:
         """
         return self.slots().groupBy(F.col("s").alias("__s"), F.col("block").alias("__block")).agg(F.count("*").alias("__uses")).hint("merge")
 
-    def report(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken."""
+    def taken(self) -> DataFrame:
+        """The documents as placed, with taken, the words that the mix takes of each."""
         pieces = self.placed().withColumn("__block", F.explode(F.expr(f"sequence(__at div {self.block}, greatest(__at + __size - 1, __at) div {self.block})")))
         words = F.greatest(F.lit(0), F.least(F.col("__at") + F.col("__size"), (F.col("__block") + 1) * self.block) - F.greatest("__at", F.col("__block") * self.block))
-        taken = pieces.join(self.uses(), ["__s", "__block"], "left").withColumn("__words", words * F.coalesce("__uses", F.lit(0)))
-        rows = taken.groupBy("__s", "__chunk", "__row").agg(F.first("__key").alias("doc_id"), F.first("__size").alias("size"), F.sum("__words").alias("taken"))
-        of = lambda values, kind: F.element_at(literals(values or [0], kind), F.col("__s") + 1)
-        return rows.select("doc_id", "size", of(self.sizes, "long").alias("source_size"), of(self.targets, "double").alias("target"), F.col("taken").cast("long").alias("taken"))
+        rows = pieces.join(self.uses(), ["__s", "__block"], "left").withColumn("__words", words * F.coalesce("__uses", F.lit(0)))
+        kept = ("__key", "__size", "__r1", "__r2", "source_size", "target")
+        return rows.groupBy("__s", "__chunk", "__row").agg(*(F.first(c).alias(c) for c in kept), F.sum("__words").cast("long").alias("taken"))
 
-    def copies(self, columns: list[str]) -> DataFrame:
-        """The documents (made with keep), each as often as the block of its first word is taken; without words, once."""
-        first = self.placed().withColumn("__block", F.expr(f"__at div {self.block}"))
-        rows = first.join(self.uses(), ["__s", "__block"], "left")
-        times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.coalesce("__uses", F.lit(0)))
-        return rows.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).select(*(F.col(f"`{c}`") for c in columns))
+    def report(self) -> DataFrame:
+        """doc_id, size, source_size, target, taken."""
+        return self.taken().select(F.col("__key").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken")
+
+    def copies(self) -> DataFrame:
+        """The documents as given, each as often as the mix takes its words; without words, once."""
+        rows = staged(self.taken().withColumn("__f", F.expr(f"if(__size > 0, taken * {PARTS} div __size, 0L)")), "taken")
+        rows = staged(before(rows, ["__s"], "__chunk", ["__row"], F.col("__f"), "__ahead"), "ahead")
+        times = lambda u: F.expr(f"least((__ahead + __f + {u}) div {PARTS} - (__ahead + {u}) div {PARTS}, {REPEATS}L)")
+        starts = [k * PARTS // OFFSETS for k in range(OFFSETS)]
+        sums = rows.groupBy("__s").agg(F.first("target").alias("target"), *(F.sum(F.col("__size") * times(u)).alias(f"u{u}") for u in starts))
+        best = staged(sums.select("__s", F.array_min(F.array(*(F.struct(F.abs(F.col(f"u{u}") - F.col("target")).alias("off"), F.lit(u).alias("u")) for u in starts)))["u"].alias("__u")), "offsets")
+        rows = rows.join(best, "__s").withColumn("__times", F.when(F.col("__size") == 0, F.lit(1).cast("long")).otherwise(times("__u")))
+        # Equal rows are one here, with the copies of all of them.
+        rows = rows.groupBy("__r1", "__r2").agg(F.sum("__times").alias("__times")).where("__times > 0").hint("merge")
+        named = self.given.select("*", *self.names(self.given))
+        whole = named.join(rows, ["__r1", "__r2"]).dropDuplicates(["__r1", "__r2"])
+        return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*(F.col(f"`{c}`") for c in self.given.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -166,4 +202,4 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs mixed to the target weights, whole documents: the same columns, repeated or left out."""
-    return Mix(docs, keep=True, **options).copies(docs.columns)
+    return Mix(docs, **options).copies()
