@@ -3,19 +3,26 @@
 Every version of a file is known by the SHA-256 of its text. The ledger holds
 what was found for each pair of blob and rule version; a scan reads only texts of
 pairs that the ledger lacks, each distinct text once, and joins the findings back
-to all paths. A finding is kind:start:end in code points, end exclusive.
+to all paths. The ledger is written before it is used, so that nothing is scanned twice.
+A finding is kind:start:end in code points, end exclusive.
 
-null text: an empty blob, without findings. Repeated rows and copies: each path
-gets its blob's findings. No rows: no findings. Only the key and text are read.
+A scan gives the lengths of the matches and of what lies between them; places are running
+sums over one narrow row for each match, so the work is in proportion to text and findings.
+
+null text: an empty blob, without findings. Very long texts: scanned whole, as any other. Repeated rows and copies: each path
+gets its blob's findings. No rows: no findings. Only the key and text are read; other columns
+pass through redact(), inner names start with two underscores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Raise it when RULES change: then all blobs count as unseen.
-RULE_VERSION = 1
+RULE_VERSION = 2
 #: Kind, Java pattern, least length of the whole match (group 0) or of the value (group 2), in the order of the report.
 BASE_RULES: tuple[tuple[str, str, int, int], ...] = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -24,33 +31,23 @@ BASE_RULES: tuple[tuple[str, str, int, int], ...] = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE_RULES: tuple[tuple[str, str, int, int], ...] = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # With the key's lines and the end line, or as far as the lines go.
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("bearer", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
 )
 RULES = BASE_RULES + MORE_RULES
-FINDINGS = "array<struct<start:int,ord:int,kind:string,end:int>>"
-
+#: A finding: code points start to end; bytes first to last; and, if no earlier finding reaches into it, the byte where the last one before ends.
+FINDINGS = "array<struct<start:bigint,ord:int,kind:string,end:bigint,first:bigint,last:bigint,after:bigint>>"
 
-def spans(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Structs (start, order, kind, end) of a rule's leftmost non-overlapping matches that pass.
 
-    The pieces between matches and the matches themselves alternate, so their
-    running length is each match's place.
-    """
+def lengths(text: Column, pattern: str, group: int) -> Column:
+    """Of a rule's leftmost non-overlapping matches: gap (before it), size and value in code points, and gap and size in bytes."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    # The pieces between matches and the matches themselves alternate; the last piece stands after all.
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), value.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end")))
-        passes = x["hit"].isNotNull() & (F.char_length(x["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(passes, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-    none = F.array().cast(FINDINGS)
-    return F.when(text.rlike(pattern), F.aggregate(zipped, begin, step, lambda a: a["out"])).otherwise(none)
+    sizes = lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), F.char_length(x["value"]).alias("value"), F.octet_length(x["gap"]).alias("gap_bytes"), F.octet_length(x["hit"]).alias("hit_bytes"))
+    return F.when(text.rlike(pattern), F.filter(F.transform(zipped, sizes), lambda x: x["hit"].isNotNull()))
 
 
 def joined(found: Column) -> Column:
@@ -58,23 +55,32 @@ def joined(found: Column) -> Column:
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blob, rule_version and findings of rows (blob, text); a row without findings too."""
-    parts = [spans(F.col("text"), k, *r) for k, r in enumerate(rules)]
-    rows = blobs.select("blob", *(p.alias(f"k{i}") for i, p in enumerate(parts)))
-    return rows.select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.sort_array(F.concat(*(f"k{i}" for i in range(len(rules))))).alias("found"))
+    """blob, rule_version and found of rows (blob, text), one for each blob; those without findings too."""
+    seen = staged(blobs.select("blob", *(lengths(F.col("text"), pattern, group).alias(f"k{i}") for i, (_, pattern, group, _) in enumerate(rules))), "scans")
+    some = seen.where(" or ".join(f"k{i} is not null" for i in range(len(rules))))
+    kinds = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.lit(least).alias("least"), F.col(f"k{i}").alias("m")) for i, (kind, _, _, least) in enumerate(rules)))
+    each = some.select("blob", F.explode(kinds).alias("r")).where("r.m is not null")
+    each = each.select("blob", "r.ord", "r.kind", "r.least", F.posexplode("r.m").alias("place", "m")).select("blob", "ord", "kind", "least", "place", "m.*")
+    until = Window.partitionBy("blob", "ord").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(until)).withColumn("last", F.sum(F.col("gap_bytes") + F.col("hit_bytes")).over(until)).where("value >= least")
+    each = each.withColumn("start", F.col("end") - F.col("hit")).withColumn("first", F.col("last") - F.col("hit_bytes"))
+    ahead = F.coalesce(F.max("last").over(Window.partitionBy("blob").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("after", F.when(F.col("first") >= ahead, ahead))
+    found = each.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "ord", "kind", "end", "first", "last", "after"))).alias("found"))
+    return seen.select("blob").join(found, "blob", "left").select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.coalesce("found", F.array()).cast(FINDINGS).alias("found"))
 
 
 def update(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, text: str = "text") -> DataFrame:
-    """The ledger (blob, rule_version, found) grown by docs' unseen pairs; those alone are scanned."""
+    """The ledger (blob, rule_version, found), written, grown by docs' unseen pairs; those alone are scanned."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.sha2("text", 256).alias("blob"), "text")
     if ledger is not None:
         rows = rows.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     unseen = scan(rows.groupBy("blob").agg(F.first("text").alias("text")), rules)
-    return unseen if ledger is None else ledger.unionByName(unseen)
+    return staged(unseen if ledger is None else ledger.unionByName(unseen), "ledger")
 
 
 def paths(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
-    """docs with found, their blobs' findings; blobs without any need no join partner."""
+    """docs with __found, their blobs' findings; blobs without any need no join partner."""
     hits = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("found") > 0)).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     named = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     return named.join(hits, "__blob", "left").drop("__blob")
@@ -82,6 +88,7 @@ def paths(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
 
 def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every text."""
+    # Only the key and the digest of a path go to the join.
     rows = paths(docs.select("doc_id", "text"), update(docs, ledger)).withColumn("__found", F.coalesce("__found", F.array().cast(FINDINGS)))
     count = lambda kind: F.size(F.filter("__found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("__found", lambda s: s["ord"] < len(BASE_RULES))
@@ -90,16 +97,16 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, ledger: DataFrame, mask: str = "[secret]", text: str = "text") -> DataFrame:
     """docs with the spans found in their texts replaced; overlapping spans become one."""
-    rows = paths(docs, ledger, text)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    own = F.filter("__found", lambda s: s["after"].isNotNull())
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        more = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
+    def clean(raw: Column) -> Column:
+        part = lambda first, last: F.substring(raw, (first + 1).cast("int"), (last - first).cast("int")).cast("string")
+        rest = part(F.array_max(F.transform("__found", lambda s: s["last"])), F.octet_length(raw).cast("long"))
+        return F.array_join(F.concat(F.transform(own, lambda s: part(s["after"], s["first"])), F.array(rest)), mask)
 
-    clean = F.aggregate("__found", begin, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(1 << 30))))
-    return rows.withColumn(text, F.when(F.col("__found").isNotNull(), clean).otherwise(F.col(text))).drop("__found").select(*docs.columns)
+    # The text's bytes are made once for each row, not for each finding.
+    clean = F.transform(F.array(F.col(text).cast("binary")), clean)[0]
+    return paths(docs, ledger, text).withColumn(text, F.when(F.col("__found").isNotNull(), clean).otherwise(F.col(text))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _oracle_rule(order: int, kind: str, pattern: str, group: int, least: int) -> str:
