@@ -1,11 +1,11 @@
 """Harmonic packing of token sequences.
 
-A document's ids and its end id are cut into full sequences and then into
-halves, quarters ... of one, as long as at least TAIL ids are left; what is left
+A document's ids and its end id are cut into full sequences; of the rest, as long as at least TAIL ids are left, the greatest
+part of a sequence (a half, third, quarter ...) that it holds is cut off, unless the rest as it is wastes at most WASTE ids of a sequence; what is left
 stays one piece. A piece of length n is of class j = capacity // n, so that j
 pieces of its class fill a sequence: every worker fills sequences of each class
-with exactly j pieces, without a word to other workers. Halves and quarters fill
-theirs to the last id. The pieces in a worker's unfilled sequences, fewer than j
+with exactly j pieces, without a word to other workers. Parts fill
+theirs but for fewer than j ids. The pieces in a worker's unfilled sequences, fewer than j
 per class, are laid end to end at last, cut at the capacity, and the rest is cut
 at powers of two, which take no padding.
 
@@ -28,7 +28,7 @@ from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
-TAIL = 128
+TAIL, WASTE = 128, 16
 #: Sequences of one worker; sequence_id is the worker's number times this, plus a count.
 STRIDE = 1 << 40
 
@@ -36,12 +36,10 @@ STRIDE = 1 << 40
 def cuts(n: int, capacity: int, tail: int = TAIL) -> list[int]:
     """Lengths of the pieces of a document of n ids."""
     out = [capacity] * (n // capacity)
-    rest, part = n % capacity, capacity // 2
-    while rest >= tail and part:
-        if rest >= part:
-            out.append(part)
-            rest -= part
-        part //= 2
+    rest = n % capacity
+    while rest >= tail and capacity - capacity // rest * rest > WASTE:
+        out.append(capacity // -(-capacity // rest))
+        rest -= out[-1]
     return out + [rest] * (rest > 0)
 
 
@@ -64,7 +62,7 @@ class Bins:
         for n in cuts(len(ids), self.capacity):
             j = self.capacity // n
             bin_ = self.open.setdefault(j, [])
-            bin_.append((doc, at, ids[at : at + n], len(ids)))
+            bin_.append((doc, at, ids[at : at + n].copy() if n < len(ids) else ids, len(ids)))  # a view would keep all of a long document
             at += n
             if len(bin_) == j:
                 yield from self.close(self.open.pop(j))
