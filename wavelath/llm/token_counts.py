@@ -3,10 +3,12 @@
 A batch's new pre-tokens stand as rows of one flat array of symbols. In every
 step each row looks up the ranks of its neighbouring pairs, takes its lowest
 rank, and merges that pair's occurrences from the left, all rows at once; a row
-leaves when no pair of it has a rank. The symbols that remain are its tokens.
+leaves when no pair of it has a rank. The symbols that remain are its tokens. Ranks are looked up anew
+only beside merges.
 
-null text: empty, 0 bytes and 0 tokens. Repeated rows: counted each. Only doc_id
-and text are read, so further columns, whatever their names, don't matter.
+null text: empty, 0 bytes and 0 tokens. Very long texts: cut at white space; a very long word is a row like any other. Repeated rows: counted each. No rows: no rows. Only doc_id
+and text are read, so further columns, whatever their names, don't matter. A vocabulary file that isn't plain
+byte-level BPE is refused.
 """
 
 from __future__ import annotations
@@ -38,11 +40,23 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def check(spec: dict) -> None:
+    """Refuses a vocabulary whose counts would differ from what is done here."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    marks = all(not t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+    if spec.get("normalizer") or not plain or not cut or not marks:
+        raise ValueError("not a plain byte-level BPE vocabulary")
+
+
 class Merges:
     """The merge table of a byte-level vocabulary file, and counts made with it."""
 
     def __init__(self, path: str):
-        spec = json.loads(open(path, encoding="utf-8").read())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        check(spec)
         vocab, merges = spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.special = [a["content"] for a in spec["added_tokens"]]
         self.first = np.array([vocab[c] for c in byte_symbols()], np.int64)
@@ -71,12 +85,18 @@ class Merges:
         none = len(self.keys)
         row = np.repeat(np.arange(len(raw)), sizes)
         sym = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        rank = np.full(len(sym), none, np.int64)
+        changed = np.arange(len(sym))
         while len(sym) > 1:
-            rank = np.where(row[:-1] == row[1:], self.ranks(sym[:-1], sym[1:]), none)
+            changed = changed[changed + 1 < len(sym)]
+            inside = row[changed] == row[changed + 1]
+            rank[changed] = none
+            changed = changed[inside]
+            rank[changed] = self.ranks(sym[changed], sym[changed + 1])
             heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            least = np.minimum.reduceat(np.r_[rank, none], heads)
+            least = np.minimum.reduceat(rank, heads)
             size = np.diff(np.r_[heads, len(row)])
-            hit = np.flatnonzero((rank == np.repeat(least, size)[:-1]) & (rank < none))
+            hit = np.flatnonzero((rank == np.repeat(least, size)) & (rank < none))
             if not len(hit):
                 break
             # Of hits side by side (a a a) the first, third ... merge.
@@ -84,10 +104,15 @@ class Merges:
             place = np.arange(len(hit))
             hit = hit[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
             sym[hit] = self.made[rank[hit]]
-            np.subtract.at(out, row[hit], 1)
+            out -= np.bincount(row[hit], minlength=len(out))
             stay = np.repeat(least < none, size)
             stay[hit + 1] = False
-            row, sym = row[stay], sym[stay]
+            rank[hit] = -1  # a mark: what stands beside a merge is looked up again
+            rank[np.maximum(hit - 1, 0)] = -1
+            row, sym, rank = row[stay], sym[stay], rank[stay]
+            changed = np.flatnonzero(rank < 0)
+            if len(rank):
+                rank[-1] = none
         return out
 
     def _learn(self, new: list[bytes]) -> None:
