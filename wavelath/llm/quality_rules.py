@@ -7,7 +7,7 @@ without one of its rules would keep. Everything is built-in DataFrame functions.
 
 A word is a run of characters other than space and the ASCII controls tab to
 return. null text: no words, so it fails few_words. Windows are compared by
-64-bit hashes of their words. Repeated rows: judged each. No rows: no rows.
+64-bit hashes of their words. Very long texts: whole, in one row's arrays. Repeated rows: judged each. No rows: no rows.
 Columns of other names pass through judge(); ledger() alone reads text.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, staged
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -96,6 +96,11 @@ def ledger(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     return seen.withColumn(f"{prefix}failed", F.expr(bits))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, written without the texts: doc_id, measurements, failed. Policies and ablations read it alone."""
+    return staged(ledger(docs.select("doc_id", "text")).drop("text"), "rules")
+
+
 def judge(rows: DataFrame, policy: Policy = STANDARD, failed: str = "failed") -> Column:
     """Whether the policy keeps a row, from its stored bits."""
     return F.col(failed).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
@@ -107,7 +112,7 @@ def ablations(rows: DataFrame, policies: list[Policy], failed: str = "failed") -
     Rows are summed by their bits first: at most one group per combination of rules, however many rows.
     """
     patterns = rows.groupBy(F.col(failed).alias("bits")).count()
-    tried = list(dict.fromkeys(q for p in policies for q in [p, *(p.without(r) for r in p.rules)]))
+    tried = _tried(policies)
     each = F.explode(F.array(*(F.struct(F.lit(p.name).alias("policy"), F.lit(p.version).alias("version"), F.lit(p.mask).cast("long").alias("mask")) for p in tried)))
     flat = patterns.select("bits", "count", each.alias("p")).select("bits", "count", "p.*")
     return flat.groupBy("policy", "version").agg(F.sum("count").alias("n_docs"), F.sum(F.when(F.expr("bits & mask") == 0, F.col("count")).otherwise(0)).alias("n_kept"))
@@ -115,11 +120,15 @@ def ablations(rows: DataFrame, policies: list[Policy], failed: str = "failed") -
 
 def report(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """doc_id, measurements, base_failed, kept and the failed bits of every text."""
-    rows = ledger(docs.select("doc_id", "text"))
+    rows = stored(docs)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~judge(rows, BASE)).alias("base_failed"), (judge(rows, BASE) & judge(rows, policy)).alias("kept"), "n_lines", "failed")
 
 
-ORACLE = r"""
+#: Policies whose ablations are reported: of the same rules, in versions.
+POLICIES = (BASE, Policy("base", 2, (*BASE.rules, "duplicate_lines")), STANDARD)
+
+
+_FACTS = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 m as (
   select r, doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -136,5 +145,12 @@ x as (
   from m left join rep using (r)),
 b as (select *, (n_words < 10)::bigint + 2 * (100 * n_repeat_words > 20 * n_words)::bigint + 4 * (10 * n_symbols > n_words)::bigint
     + 8 * (2 * n_dup_lines > n_lines)::bigint + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 16 * n_words))::bigint as failed from x)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, n_lines, failed from b
 """
+ORACLE = f"""{_FACTS}select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, n_lines, failed from b"""
+
+
+def _tried(policies) -> list[Policy]:
+    return list(dict.fromkeys(q for p in policies for q in [p, *(p.without(r) for r in p.rules)]))
+
+
+ABLATIONS_ORACLE = f"""{_FACTS}select policy, version, count(*)::bigint as n_docs, count(*) filter (failed & mask = 0)::bigint as n_kept from b, (values {", ".join(f"('{p.name}', {p.version}, {p.mask})" for p in _tried(POLICIES))}) t(policy, version, mask) group by policy, version"""

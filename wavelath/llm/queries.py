@@ -27,6 +27,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.documents(staged(shards, "shards"))
 
 
+def secret_ledger_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 in two runs: a stored ledger of half the documents, then all of them, of which only unseen blobs are scanned."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.update(docs.where("doc_id % 2 = 0")))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What versioned policies keep, with and without each of their rules, from the stored ledger of all documents."""
+    return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents")), list(quality_rules.POLICIES))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(table(spark, sf_dir, "documents"))
 
@@ -52,5 +63,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_secret_scans, op4_token_files, op5_language_id, op6_embedding_near_dedup, op7_quality_classifier, op8_token_counts, op9_packing, op10_source_mixing)}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op3_secret_scans": secrets.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_secret_scans, op4_token_files, op5_language_id, op6_embedding_near_dedup, op7_quality_classifier, op8_token_counts, op9_packing, op10_source_mixing, secret_ledger_increment, quality_ablations)}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op3_secret_scans": secrets.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "secret_ledger_increment": secrets.ORACLE, "quality_ablations": quality_rules.ABLATIONS_ORACLE}
