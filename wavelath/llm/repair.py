@@ -1,13 +1,16 @@
 """Token-id files compressed by a grammar of id pairs (Re-Pair), per shard.
 
 A shard holds the ids of documents in ascending key order. Frequent neighbouring
-pairs become new symbols, many pairs a round, until no pair is left that occurs
-LEAST times: a round takes pairs of which no right symbol is another's left one, so
-that their occurrences never overlap. A pair of one symbol twice is taken at
-alternate places of each run, and no other pair with that symbol beside it. A
+pairs become new symbols, the most frequent first, until no pair is left that occurs
+LEAST times. A round takes all pairs that occur at least a STEEP-th as often as the most frequent one,
+each at those places where neither neighbouring pair is more frequent, so that
+no two places overlap and the most frequent pair is replaced wherever it stands. A pair of one
+symbol twice is taken at alternate places of each run. A
 pair never reaches over the end of a document, so every document owns a run of
 symbols and is decoded alone. Rules and the lengths they expand to are stored.
 
+Very long texts: a shard of their own size. Repeated rows: stored each. No rows: no shards. Columns beside key and text aren't read.
+
 File format, little-endian: magic RPZ2; uint32 documents, rules, base (the first
 symbol that is a rule), bits per symbol; uint64 symbols; then per document
 uint8 key given, int64 key, int64 tokens, int64 symbols; per rule uint32 left,
@@ -36,55 +39,84 @@ SHARD_SCHEMA = "part long, shard long, n_docs long, n_tokens long, n_symbols lon
 DOC_SCHEMA = "part long, shard long, doc_id long, local long, n_tokens long, ids_crc32 long"
 #: Ids of a shard, before compression; a document is never parted.
 SHARD_IDS = 1 << 22
-BUCKETS = 20
-#: Pairs that one round takes at most; what is left over is for the next rounds.
-PAIRS_A_ROUND = 2000
+#: Bits of the table that pairs are counted in.
+BUCKETS = 21
 #: A pair that occurs less often is not replaced.
 LEAST = 16
+STEEP = 100
+
+
+def alternate(same: np.ndarray) -> np.ndarray:
+    """Of ascending places, every second one of each run of places side by side."""
+    heads = np.r_[True, np.diff(same) > 1]
+    place = np.arange(len(same))
+    return same[(place - np.maximum.accumulate(np.where(heads, place, 0))) % 2 == 1]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, most: int = PAIRS_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, their document-end flags, and rules (left, right), of ids whose ends are flagged."""
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, steep: int = STEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, their document-end flags, and rules (left, right), of ids whose ends are flagged.
+
+    Counts of old pairs only fall, and pairs with a new symbol all arise in the round that makes it. So a place
+    whose pair was found to be rare is not looked at again until one of its two symbols is replaced.
+    """
     sym, end = ids.astype(np.uint32), ends.astype(bool)
     rules: list[np.ndarray] = []
-    made = base
-    while len(sym) > 1:
-        code = sym[:-1].astype(np.uint64) << np.uint64(32) | sym[1:]
-        bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-        free = ~end[:-1]
-        # Of a run of one symbol every other place counts.
-        same = np.flatnonzero(free & (sym[:-1] == sym[1:]))
-        if len(same):
-            heads = np.r_[True, np.diff(same) > 1]
-            free[same[(same - same[np.maximum.accumulate(np.where(heads, np.arange(len(same)), 0))]) % 2 == 1]] = False
-        seen = np.bincount(bucket[free], minlength=1 << BUCKETS)
-        cut = max(least, int(np.partition(seen, -most)[-most])) if most < len(seen) else least
-        at = np.flatnonzero(free & (seen >= cut)[bucket])
-        pairs, back, n = np.unique(code[at], return_inverse=True, return_counts=True)
-        left, right, taken = set(), set(), []
-        for k in np.argsort(-n, kind="stable").tolist():
-            if n[k] < least or len(taken) == most:
-                break
-            a, b = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
-            if a not in right and b not in left:
-                left.add(a)
-                right.add(b)
-                taken.append(k)
-        if not taken:
-            if cut == least:
-                break
-            most *= 8  # the fullest buckets held no frequent pair: look into more
+    made, odd = base, np.random.default_rng(1)
+    open_ = ~end
+    while True:
+        open_[-1:] = False
+        at = np.flatnonzero(open_)
+        left, right = sym[at], sym[at + 1]
+        if (same := left == right).any():
+            skip = np.zeros(len(sym), bool)
+            skip[alternate(at[same])] = True
+            count = ~skip[at]
+            at, left, right = at[count], left[count], right[count]
+        if not len(at):
+            break
+        bits = min(BUCKETS, len(at).bit_length() + 1)
+        code = left.astype(np.uint64) << np.uint64(32) | right
+        # Another multiplier each round: pairs that share a place of the table now won't share it again.
+        bucket = (code * np.uint64(int(odd.integers(1, 1 << 62)) * 2 + 1) >> np.uint64(64 - bits)).astype(np.int32)
+        may = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
+        open_[at[~may]] = False
+        del left, right
+        at, code, bucket = at[may], code[may], bucket[may]
+        # A place of the table stands for the last pair written there; others that fall into it wait.
+        pair_of = np.zeros(1 << bits, np.uint64)
+        pair_of[bucket] = code
+        mine = pair_of[bucket] == code
+        del code
+        at, bucket = at[mine], bucket[mine]
+        seen = np.bincount(bucket, minlength=1 << bits)
+        top = int(seen.max())
+        count = seen[bucket]
+        open_[at[count < least]] = False
+        if top < least:
             continue
-        number = np.full(len(pairs), -1, np.int64)
-        number[taken] = np.arange(len(taken))
-        hit = number[back]
-        at, hit = at[hit >= 0], hit[hit >= 0]
-        sym[at] = made + hit
+        often = count >= max(least, top // steep)
+        at, bucket, count = at[often], bucket[often], count[often]
+        # A pair's standing: its count, then its place in the table. The highest of neighbours is replaced.
+        standing = np.zeros(len(sym) + 2, np.int64)
+        own = count << bits | bucket
+        standing[at + 1] = own
+        stay = (own > standing[at]) & (own > standing[at + 2])
+        at, bucket = at[stay], bucket[stay]
+        enough = np.bincount(bucket, minlength=1 << bits) >= least
+        stay = enough[bucket]
+        at, bucket = at[stay], bucket[stay]
+        taken = np.flatnonzero(enough)
+        number = np.zeros(1 << bits, np.uint32)
+        number[taken] = np.arange(made, made + len(taken), dtype=np.uint32)
+        sym[at] = number[bucket]
         end[at] = end[at + 1]
+        open_[at] = ~end[at]
+        before = np.maximum(at - 1, 0)
+        open_[before] = ~end[before]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
-        sym, end = sym[stay], end[stay]
-        p = pairs[taken]
+        sym, end, open_ = sym[stay], end[stay], open_[stay]
+        p = pair_of[taken]
         rules.append(np.stack([(p >> np.uint64(32)).astype(np.uint32), (p & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
         made += len(taken)
     return sym, end, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
