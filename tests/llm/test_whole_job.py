@@ -5,14 +5,16 @@ import numpy as np
 from wavelath.llm import near_dedup, repair
 
 
-def test_pairs_of_one_band_are_verified():
+def test_tiles_give_every_link():
     words = [f"w{k}" for k in range(60)]
-    sig = np.arange(near_dedup.SAMPLES, dtype="<u2")
-    other = sig + 1000
-    other[3:6] = sig[3:6]
-    tile = {"left": [True, False], "right": [True, True], "id": [1, 2], "comp": [1, 2], "band": [1, 1], "sig": [sig.tobytes(), other.astype("<u2").tobytes()], "text": [" ".join(words), " ".join([*words, "more"])]}
-    assert near_dedup.links_in(tile, near_dedup.Idf()) == [(1, 2)]
-    assert near_dedup.links_in(tile | {"band": [2, 2]}, near_dedup.Idf()) == []
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[30:] * 3), " ".join([*words[30:] * 3, "x"]), "a b c d e f"]
+    tile = {"left": [True, False, True, False, True], "right": [True] * 5, "comp": [1, 2, 3, 4, 5], "text": texts}
+    links = sorted(near_dedup.links_in(tile, near_dedup.Idf()))
+    own = near_dedup.shingles(texts)
+    want = [(i + 1, j + 1) for i in range(5) for j in range(i + 1, 5) if near_dedup.similarity(own[i], own[j], near_dedup.Idf()) >= 0.8]
+    assert links == want == [(1, 2), (3, 4)]
+    assert near_dedup.links_in(tile | {"comp": [1, 1, 3, 3, 5]}, near_dedup.Idf()) == []
+    assert near_dedup.links_in(tile | {"left": [False] * 5}, near_dedup.Idf()) == []
 
 
 def counted(sym, end):
@@ -32,8 +34,8 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     ids = np.concatenate([np.full(9001, 7), *([passage] * 40), r.zipf(1.4, 6000).clip(max=899)]).astype(np.uint32)
     ends = np.zeros(len(ids), bool)
     ends[[9000, len(ids) - 1]] = True
-    for most in (repair.PAIRS_A_ROUND, 3):
-        sym, end, rules = repair.compress(ids, ends, 1000, most=most)
+    for steep in (1, repair.STEEP, 10**9):
+        sym, end, rules = repair.compress(ids, ends, 1000, steep=steep)
         assert repair.expand(sym, rules, 1000).tolist() == ids.tolist()
         assert max(counted(sym.tolist(), end.tolist()).values()) < repair.LEAST
         assert np.flatnonzero(end)[0] < 40
