@@ -5,7 +5,8 @@ whose kinds differ are refused before anything runs. Global properties fill thos
 that a component has under the same name and doesn't set itself.
 
 Over a streaming source the same graph is a streaming query: run() starts it, a sink ends it
-at its byte limit.
+at its byte limit. Spark keeps the state of one such operator a query, so of framing and smoothing
+a stream does one; the other takes the first one's written rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ class Component:
     dtypes: tuple[str, ...] = ()
     #: Of a sink: its input to rows (channel, order, data), and the column of the order.
     data: Callable[[DataFrame], DataFrame] | None = None
+    #: Whether it holds state over a stream, by its properties.
+    stateful: Callable[[dict[str, Any]], bool] = lambda _: False
     order: str = "seq"
 
 
@@ -105,10 +108,10 @@ _packets = lambda _: "packets"
 _F = ("f32", "f64")
 register(Component("replay_source", _replay, _none, _packets, {"path": "", "streaming": False}))
 register(Component("udp_source", _udp, _none, _packets, {"interface": "", "ip_addr": "", "port": 0, "recv_buf_size": 0xFFFF, "msg_size": 0, "num_msgs": 0}))
-register(Component("stov", _stov, _packets, lambda t: "frames:" + t, {"output_size": 0, "transport": "", "byteswap": True, "msg_size": 0}, tuple(FLOATS)))
+register(Component("stov", _stov, _packets, lambda t: "frames:" + t, {"output_size": 0, "transport": "", "byteswap": True, "msg_size": 0}, tuple(FLOATS), stateful=lambda _: True))
 register(Component("fft", lambda s, d, p, t: spectral.fft(d, p["fft_size"], p["window"], p["shift"], t, p["fftw_threads"]), _complex, _complex, {"window": "", "fft_size": 1024, "fftw_threads": 1, "shift": True}, _F))
 register(Component("psd", lambda s, d, p, t: spectral.psd(d, p["fft_size"], p["window"], p["sample_rate"], t), _complex, _real, {"window": "", "fft_size": 1024, "sample_rate": 1.0}, _F))
-register(Component("exp_smooth", _smooth, _real, _real, {"alpha": 1.0}, _F))
+register(Component("exp_smooth", _smooth, _real, _real, {"alpha": 1.0}, _F, stateful=lambda p: p["alpha"] != 1))
 register(Component("histogram", _histogram, _packets, lambda _: "histogram", {"transport": "", "msg_size": 0, "byteswap": True, "adc_bits": 0, "sample_rate": 0, "num_msgs": 64}))
 register(Component("file_writer", _limited(sinks.payloads, "seq"), _packets, _none, {"filename": "", "num_bytes": 0}, (), sinks.payloads))
 register(Component("aligned_mem_writer", _limited(sinks.memory, "frame"), lambda t: "frames:" + t, _none, {"filename": "", "num_bytes": 0}, tuple(FLOATS), sinks.memory, "frame"))
@@ -179,9 +182,13 @@ class Graph:
     def build(self, spark: SparkSession, name: str | None = None, source: DataFrame | None = None) -> DataFrame:
         """The rows that a component gives, the last one by default; source stands in for the first component of the path."""
         name = name or list(self.nodes)[-1]
-        df = source
+        df, held = source, None
         for step in self._path(name)[source is not None :]:
             node = self.nodes[step]
+            if df is not None and df.isStreaming and node.component.stateful(node.properties):
+                if held:
+                    raise GraphError(f"{held} and {step} both hold state: write the rows of {held} and stream them to {step}")
+                held = step
             if df is None and node.component.takes(node.dtype):
                 raise GraphError(f"{step} has no input")
             df = node.component.build(spark, df, node.properties, node.dtype)

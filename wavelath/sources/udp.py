@@ -75,11 +75,24 @@ class Receiver:
 
 
 class UdpReader(SimpleDataSourceStreamReader):
+    """Spark copies the reader to plan with; only the one that is asked for datagrams opens the socket."""
+
     def __init__(self, options: dict):
         number = lambda k, d: int(options.get(k, d))
-        self.receiver = Receiver(options.get("channel", "0"), options.get("interface", ""), options.get("ip_addr", ""), number("port", 0), number("recv_buf_size", 0xFFFF), number("msg_size", 0), number("num_msgs", 0))
+        self.options = (options.get("channel", "0"), options.get("interface", ""), options.get("ip_addr", ""), number("port", 0), number("recv_buf_size", 0xFFFF), number("msg_size", 0), number("num_msgs", 0))
+        self.opened: Receiver | None = None
+
+    def __getstate__(self) -> dict:
+        return {"options": self.options, "opened": None}
+
+    @property
+    def receiver(self) -> Receiver:
+        if self.opened is None:
+            self.opened = Receiver(*self.options)
+        return self.opened
 
     def initialOffset(self) -> dict:
+        _ = self.receiver  # listens from the start of the query on
         return {"seq": 0}
 
     def read(self, start: dict):
@@ -87,10 +100,12 @@ class UdpReader(SimpleDataSourceStreamReader):
         return iter([self.receiver.held[k] for k in range(start["seq"], end)]), {"seq": end}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([self.receiver.held[k] for k in range(start["seq"], end["seq"]) if k in self.receiver.held])
+        held = self.opened.held if self.opened else {}
+        return iter([held[k] for k in range(start["seq"], end["seq"]) if k in held])
 
     def commit(self, end: dict) -> None:
-        self.receiver.held = {k: v for k, v in self.receiver.held.items() if k >= end["seq"]}
+        if self.opened:
+            self.opened.held = {k: v for k, v in self.opened.held.items() if k >= end["seq"]}
 
 
 class UdpSource(DataSource):
