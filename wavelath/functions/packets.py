@@ -27,14 +27,23 @@ def unsigned(data: Column, at, size: int) -> Column:
     return F.when(F.length(data) >= at + size, value)
 
 
-def v49_header(pkt: Column) -> Column:
-    """STRUCT of the first word's fields; null for fewer than 4 bytes."""
-    word = unsigned(pkt, 0, 4)
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fields(word: Column) -> Column:
+    """STRUCT of a first word's fields; null for none."""
     field = lambda shift, bits: F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     parts = {"ptype": (28, 4), "has_class": (27, 1), "has_trailer": (26, 1), "tsi": (22, 2), "tsf": (20, 2), "packet_count": (16, 4), "words": (0, 16)}
     return F.when(word.isNotNull(), F.struct(*(field(*p).alias(n) for n, p in parts.items())))
 
 
+def v49_header(pkt: Column) -> Column:
+    """STRUCT of the first word's fields; null for fewer than 4 bytes."""
+    return let(unsigned(pkt, 0, 4), fields)
+
+
 def is_data(header: Column) -> Column:
     return header["ptype"].isin(SIGNAL_DATA, SIGNAL_DATA_STREAM_ID)
 
@@ -50,28 +59,34 @@ def parse_v49(packets: DataFrame, pkt: str = "pkt") -> DataFrame:
     data is empty. A packet that claims more bytes than it has is cut to what is
     there and marked in _corrupt, as is one without a header.
     """
-    p, h = F.col(pkt), F.col("header")
-    rows = packets.withColumn("header", v49_header(p))
-    has = {"stream": h["ptype"] != SIGNAL_DATA, "cls": h["has_class"] == 1, "int": h["tsi"] != 0, "frac": h["tsf"] != 0}
-    width = {"stream": 4, "cls": 8, "int": 4, "frac": 8}
-    at, place = {}, F.lit(4)
-    for name, flag in has.items():
-        at[name] = place
-        place = place + F.when(flag, width[name]).otherwise(0)
-    rows = rows.withColumn("__at", place)
-    data, trailer = is_data(h), (h["has_trailer"] == 1) & is_data(h)
-    claimed = h["words"] * 4
-    size = F.greatest(F.least(claimed, F.length(p)) - F.col("__at") - F.when(trailer, 4).otherwise(0), F.lit(0))
-    return rows.select(
-        "*",
-        F.when(has["stream"], unsigned(p, at["stream"], 4)).alias("stream_id"),
-        F.when(has["cls"] & (F.length(p) >= at["cls"] + 8), F.substring(p, at["cls"] + 1, F.lit(8))).alias("class_id"),
-        F.when(has["int"], unsigned(p, at["int"], 4)).alias("sec"),
-        F.when(has["frac"], unsigned(p, at["frac"], 8)).alias("frac"),
-        F.when(trailer & (claimed >= F.col("__at") + 4), unsigned(p, F.greatest(claimed - 4, F.lit(0)), 4)).alias("trailer"),
-        F.when(data, F.substring(p, F.col("__at") + 1, size)).otherwise(F.lit(b"")).alias("payload"),
-        (h.isNull() | (claimed > F.length(p)) | (claimed < F.col("__at"))).alias("_corrupt"),
-    ).drop("__at")
+    p = F.col(pkt)
+
+    def positions(h: Column) -> Column:
+        """Where each field begins, 4 bytes on if there is no header."""
+        stream = F.when(h["ptype"] != SIGNAL_DATA, 4).otherwise(0)
+        cls = F.when(h["has_class"] == 1, 8).otherwise(0)
+        seconds = F.when(h["tsi"] != 0, 4).otherwise(0)
+        more = F.when(h["tsf"] != 0, 8).otherwise(0)
+        ends = {"cls": 4 + stream, "int": 4 + stream + cls, "frac": 4 + stream + cls + seconds, "payload": 4 + stream + cls + seconds + more}
+        return F.struct(*(v.alias(k) for k, v in ends.items()), (h["words"] * 4).alias("claimed"), is_data(h).alias("data"), ((h["has_trailer"] == 1) & is_data(h)).alias("trailer"))
+
+    def parsed(h: Column, at: Column) -> Column:
+        size = F.greatest(F.least(at["claimed"], F.length(p)) - at["payload"] - F.when(at["trailer"], 4).otherwise(0), F.lit(0))
+        return F.struct(
+            h.alias("header"),
+            F.when(h["ptype"] != SIGNAL_DATA, unsigned(p, 4, 4)).alias("stream_id"),
+            F.when((h["has_class"] == 1) & (F.length(p) >= at["cls"] + 8), F.substring(p, at["cls"] + 1, F.lit(8))).alias("class_id"),
+            F.when(h["tsi"] != 0, unsigned(p, at["int"], 4)).alias("sec"),
+            F.when(h["tsf"] != 0, unsigned(p, at["frac"], 8)).alias("frac"),
+            F.when(at["trailer"] & (at["claimed"] >= at["payload"] + 4), unsigned(p, F.greatest(at["claimed"] - 4, F.lit(0)), 4)).alias("trailer"),
+            F.when(at["data"], F.substring(p, at["payload"] + 1, size)).otherwise(F.lit(b"")).alias("payload"),
+            (h.isNull() | (at["claimed"] > F.length(p)) | (at["claimed"] < at["payload"])).alias("_corrupt"),
+        )
+
+    # Nested so that plans stay small: written out as columns of columns, each field would hold all those before it many times over.
+    whole = let(unsigned(p, 0, 4), lambda w: let(fields(w), lambda h: let(positions(h), lambda at: parsed(h, at))))
+    names = ("header", "stream_id", "class_id", "sec", "frac", "trailer", "payload", "_corrupt")
+    return packets.withColumn("__p", whole).select(*(F.col(f"`{c}`") for c in packets.columns), *(F.col(f"__p.{n}").alias(n) for n in names))
 
 
 def parse_sdds(packets: DataFrame, pkt: str = "pkt") -> DataFrame:
@@ -98,7 +113,10 @@ def parse(packets: DataFrame, transport: str, pkt: str = "pkt") -> DataFrame:
     check_transport(transport)
     if transport == "sdds":
         return parse_sdds(packets, pkt)
-    return parse_v49(packets, pkt).where(is_data(F.col("header")))
+    # The type is the first digit: told before a packet is taken apart, so that the filter gets down to the scan as it stands.
+    kind = F.substring(F.hex(F.substring(F.col(pkt), 1, 1)), 1, 1)
+    data = packets.where(kind.isin(str(SIGNAL_DATA), str(SIGNAL_DATA_STREAM_ID)) & (F.length(pkt) >= 4))
+    return parse_v49(data, pkt)
 
 
 def slots(blocks: DataFrame, msg_size: int, data: str = "data") -> DataFrame:

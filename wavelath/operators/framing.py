@@ -58,8 +58,8 @@ def frames(parsed: DataFrame, size: int, dtype: str = "cf64", byteswap: bool = T
     cols, kind, name = arrays(dtype)
     unit = SOURCES[source] * len(cols)
     rows = parsed.select("channel", "seq", F.coalesce("sec", F.lit(0)).cast("long").alias("sec"), F.coalesce(low64("frac"), F.lit(0)).alias("frac"), F.col("payload").alias("data"))
-    rows = rows.withColumn("n", F.coalesce(F.expr(f"length(data) div {unit}"), F.lit(0)).cast("long")).where("n > 0")
-    rows = before(rows, F.col("n"), "at", ties=("sec", "frac", "data"))
+    rows = rows.withColumn("n", F.coalesce(F.expr(f"length(data) div {unit}"), F.lit(0)).cast("long"))
+    rows = before(rows, F.col("n"), "at", ties=("sec", "frac", "data")).where("n > 0")
     rows = rows.withColumn("frame", F.explode(F.expr(f"sequence(at div {size}, (at + n - 1) div {size})")))
     start = F.greatest(F.col("frame") * size - F.col("at"), F.lit(0))
     stop = F.least((F.col("frame") + 1) * size - F.col("at"), F.col("n"))

@@ -25,7 +25,8 @@ MANIFEST = "manifest.json"
 
 def limited(rows: DataFrame, num_bytes: int, data: str = "data", seq: str = "seq") -> DataFrame:
     """Rows in seq order until num_bytes bytes of data, the last one cut; 0 keeps none. Adds at, the bytes before."""
-    sized = before(rows.where(F.length(data) > 0), F.length(data), "at", seq, (data,), num_bytes).where(F.col("at") < num_bytes)
+    size = F.coalesce(F.length(data), F.lit(0))
+    sized = before(rows, size, "at", seq, (data,), num_bytes).where((F.col("at") < num_bytes) & (size > 0))
     return sized.withColumn(data, F.substring(F.col(data), F.lit(1), F.least(F.length(data).cast("long"), num_bytes - F.col("at")).cast("int")))
 
 

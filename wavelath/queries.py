@@ -282,7 +282,7 @@ x as (select pkt, k, q as b2, {_SWAP.format(x="q")} as l2, i::hugeint * 65536 +
 p as (select pkt, max(b2) filter (k = 0)::hugeint as b2, max(l2) filter (k = 0)::hugeint as l2, max(b4) filter (k = 1) as b4, max(l4) filter (k = 1) as l4,
   max(b4) filter (k = 2) * 4294967296 + max(b4) filter (k = 3) as b8, max(l4) filter (k = 3) * 4294967296 + max(l4) filter (k = 2) as l8 from x group by pkt having count(*) = 4),
 y as ({" union all ".join(f"select pkt, '{n}' as n, {swap} as byteswap, {size} as bits, {c} as v from p" for n, size in (("2", 16), ("4", 32), ("8", 64)) for c, swap in ((f"b{n}", "true"), (f"l{n}", "false")))})
-select pkt as seq, 'u' || n as kind, byteswap, v::double as v from y union all select pkt, 'i' || n, byteswap, (case when v >= (2::hugeint ** (bits - 1))::hugeint then v - (2::hugeint ** bits)::hugeint else v end)::double from y"""
+select pkt as seq, 'u' || n as kind, byteswap, v::ubigint::double as v from y union all select pkt, 'i' || n, byteswap, (case when v >= (2::hugeint ** (bits - 1))::hugeint then v - (2::hugeint ** bits)::hugeint else v end)::bigint::double from y"""
 _SINGLE = "({a}::float::double - {b}::float::double * cos(2 * pi() * n / 63))::float"
 
 
