@@ -42,12 +42,14 @@ SAMPLES, BANDS = 48, 16
 ROWS = SAMPLES // BANDS
 #: Share of documents from which a shingle weighs less.
 THETA = 0.001
+#: Bytes of small tasks that are read together at most.
+TASK_BYTES = 1 << 28
 #: Shingles that a task counts at once.
 SEGMENT = 1 << 22
 #: Texts of one side of a tile, and their bytes, as means.
-TEXTS, BYTES = 400, 1 << 24
+TEXTS, BYTES = 200, 1 << 24
 #: Members of a group verified in one place against its first text.
-PART = 500
+PART = 128
 
 
 def hashed(raws: list[bytes]) -> list[np.ndarray]:
@@ -135,9 +137,10 @@ def frequencies(docs: DataFrame) -> Idf:
     """The document frequencies over THETA, counted over all rows (text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    # A task of few documents can leave nothing out; so many small ones are read together that each has about 4 / THETA.
-    tasks = int(docs.count() * THETA / 4) + 1
+    # A task of few documents can leave nothing out; so many small ones are read together that each has about 4 / THETA,
+    # but no more than TASK_BYTES, by the size that the plan is reckoned to have.
     rows = docs.select("text")
+    tasks = 1 + max(int(docs.count() * THETA / 4), int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES)
     rows = rows.coalesce(tasks) if rows.rdd.getNumPartitions() > tasks else rows
 
     def heavy(batches):
