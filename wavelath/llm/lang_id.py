@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, small_batches, with_default
+from .common import small_batches, staged, with_default
 
 #: Documents of one language to learn from, on average at most.
 SAMPLE = 2000
@@ -91,7 +91,8 @@ def sampled(docs: DataFrame, key: str, most: int) -> DataFrame:
     """Rows (lang, ...) of each language with probability most / its rows, by a hash of the key."""
     sizes = docs.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("__share"))
     chance = F.pmod(F.xxhash64(key, F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    return docs.withColumn("__chance", chance).join(dealt(sizes), "lang").where(F.col("__chance") < F.col("__share"))
+    # Written first: one row a language, of a size that is known when the join is planned, so that texts aren't shuffled for it.
+    return docs.withColumn("__chance", chance).join(staged(sizes, "languages"), "lang").where(F.col("__chance") < F.col("__share"))
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict[str, np.ndarray]:
