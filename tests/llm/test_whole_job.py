@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from wavelath.llm import near_dedup, repair
+from wavelath.llm import common, near_dedup, repair
 
 
 def test_tiles_give_every_link():
@@ -39,3 +39,15 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
         assert repair.expand(sym, rules, 1000).tolist() == ids.tolist()
         assert max(counted(sym.tolist(), end.tolist()).values()) < repair.LEAST
         assert np.flatnonzero(end)[0] < 40
+
+
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    pairs = [(k, k + 1) for k in range(300)] + [(1000 + int(a), 1000 + int(b)) for a, b in r.integers(0, 200, (150, 2))] + [(-5, 900), (6, 6), (None, 3)]
+    edges, calls, own = spark.createDataFrame(pairs, "a long, b long"), [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df, tag: calls.append(tag) or own(df, tag))
+    one = sorted(map(tuple, common.components(edges).collect()))
+    assert len(calls) == 1  # a round writes, deals out and broadcasts anew, which fills the driver
+    assert one == sorted(map(tuple, common.components(edges, few=0).collect())) and len(calls) > 2
+    assert sorted(map(tuple, common.components(edges, few=250).collect())) == one
+    assert common.components(edges.where("a = b")).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ..shared import fresh_path, shared_dir, staged
 #: Java pattern of the separators between words: space and the ASCII controls tab to return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges whose components one task finds; more are shortened in rounds first.
+SMALL = 1 << 20
 __all__ = ["SPACE", "WORD", "components", "dealt", "fresh_path", "shared_dir", "small_batches", "staged", "table", "with_default"]
 
 
@@ -37,9 +40,37 @@ def with_default(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of edges, ascending, and the least id that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        x, y = root[left], root[right]
+        on = x != y
+        if not on.any():
+            return ids, ids[root]
+        left, right, x, y = left[on], right[on], x[on], y[on]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches):
+        rows = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if rows:
+            ids, least = least_reachable(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least, pa.int64())], ["id", "component"])
+
+    return links.coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = SMALL) -> DataFrame:
     """Connected components of edges (a, b), both long: (id, component), component the least id reachable.
 
+    Up to few edges, one task finds them: each round is several exchanges and broadcasts, which the driver
+    pays for whatever the number of rows. More edges go through rounds until as few are left or nothing changes.
+
     Every round each vertex hands its least known neighbour to all its neighbours
     (hook to the least neighbour, then shorten), which halves the remaining paths,
     so the rounds grow with the logarithm of the longest path. Each round is written to
@@ -49,8 +80,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     now = state(links)
     for _ in range(rounds):
-        if not now[0]:
-            break
+        if now[0] <= few:
+            return _in_one_task(links)
         # Large star: each vertex links its larger neighbours to the least of its neighbours and itself.
         both = links.selectExpr("a as u", "b as v").unionAll(links.selectExpr("b as u", "a as v"))
         low = dealt(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m"))
