@@ -51,3 +51,15 @@ def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
     assert one == sorted(map(tuple, common.components(edges, few=0).collect())) and len(calls) > 2
     assert sorted(map(tuple, common.components(edges, few=250).collect())) == one
     assert common.components(edges.where("a = b")).collect() == []
+
+
+def test_texts_that_miss_the_first_one_meet_each_other(spark):
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(["other"] * 2 + base[:110])] + [" ".join([*base, f"x{k}"]) for k in range(40)] + ["no link at all to any of them"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "v long, text string")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, len(texts))], "a long, b long")
+    idf = spark.sparkContext.broadcast(near_dedup.Idf())
+    found = [tuple(x) for x in near_dedup.verified(pairs, rows, idf).collect()]
+    ids, least = common.least_reachable(*np.array(found, int).reshape(-1, 2).T)
+    # The text numbered 0 links with none: all else was left to tiles, of which a group has as many as the square of what is left.
+    assert ids.tolist() == list(range(1, 41)) and set(least.tolist()) == {1} and len(found) == 39

@@ -11,7 +11,7 @@ then exact counts of what may exceed THETA.
 
 Each text gets SAMPLES consistent weighted samples, cut into BANDS. All texts that
 agree in a band are verified by weighted Jaccard over whole texts, which alone
-decides: each with the band's first text, and then those outside the band's
+decides: each with the band's first text and, if they don't link, with those read beside it; and then those outside the band's
 largest component with all others, in tiles of bounded size that give only a
 spanning forest of the links. Bands of the same texts are verified once. No cap leaves
 a pair out; what is lost are pairs that share no band.
@@ -395,8 +395,12 @@ def links_in(g: dict[str, list], idf: Idf) -> list[tuple[int, int]]:
     Only shingles that two of the tile's texts hold can be common to a pair: each left text meets, through
     the places of its shingles, just those texts that share some with it, and the sums over them are exact.
     """
-    comp, own = g["comp"], shingles([t or "" for t in g["text"]])
-    left, right = np.flatnonzero(g["left"]), np.array(g["right"], bool)
+    return linked(shingles([t or "" for t in g["text"]]), g["comp"], g["left"], g["right"], idf)
+
+
+def linked(own: list[tuple[np.ndarray, np.ndarray]], comp: list[int], left: list[bool], right: list[bool], idf: Idf) -> list[tuple[int, int]]:
+    """links_in, given the shingles of the tile's texts, none of them without any."""
+    left, right = np.flatnonzero(left), np.array(right, bool)
     sets, first, out = Sets(len(comp)), {}, []
     for k, c in enumerate(comp):
         sets.join(first.setdefault(c, k), k)
@@ -424,9 +428,11 @@ def links_in(g: dict[str, list], idf: Idf) -> list[tuple[int, int]]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches THRESHOLD; texts: v, text, one row each.
+    """Spanning edges (a, b) of the links among texts that meet by their pairs (a, b); texts: v, text, one row each.
 
-    Pairs meet by their first text, PART of them in one place, each text of a place read once.
+    Pairs meet by their first text, PART of them in one place, each text of a place read once. There
+    each text meets the first one, and those that it doesn't link to meet all others of the place: so where a group's
+    texts mostly link, though not to its first one, few are left for tiles.
     """
     parts = dealt(pairs.groupBy("a").agg(F.ceil(F.count("*") / float(PART)).cast("int").alias("parts")))
     rows = pairs.join(parts, "a").selectExpr("a", "b as v", "cast(pmod(xxhash64(b), parts) as int) as part", "1 as kind")
@@ -434,20 +440,40 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     met = rows.unionByName(firsts).join(texts, "v").select("a", "part", "kind", "v", "text").repartition("a", "part").sortWithinPartitions("a", "part", "kind", "v")
 
     def run(batches):
-        now, first = None, None
+        now, first, held, size = None, None, [], 0
         for b in batches:
             own = shingles(with_default(b, "text"))
             out = []
             for a, part, kind, v, s in zip(*(b.column(c).to_pylist() for c in ("a", "part", "kind", "v")), own, strict=True):
+                # Long texts of a place are met in several lots, each with the first text.
+                if now != (a, part) or size >= SEGMENT // 2:
+                    out += links_of(first, held, idf.value)
+                    held, size = [], 0
                 if kind == 0:
-                    now, first = (a, part), s
-                elif now == (a, part) and similarity(first, s, idf.value) >= THRESHOLD:
-                    out.append((a, v))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    now, first = (a, part), (v, s)
+                elif now == (a, part):
+                    held.append((v, s))
+                    size += len(s[0])
+            yield _edges(out)
+        yield _edges(links_of(first, held, idf.value))
 
     return met.mapInArrow(run, "a long, b long")
 
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def links_of(first: tuple | None, others: list[tuple], idf: Idf) -> list[tuple[int, int]]:
+    """Spanning edges of the links between the first text and others (each v, shingles), and of those it doesn't link to with all others."""
+    near = [similarity(first[1], s, idf) >= THRESHOLD for _, s in others]
+    out = [(first[0], v) for (v, _), yes in zip(others, near, strict=True) if yes]
+    if len(others) > 1 and not all(near):
+        comp = [first[0] if yes else v for (v, _), yes in zip(others, near, strict=True)]
+        out += linked([s for _, s in others], comp, [not yes for yes in near], [True] * len(others), idf)
+    return out
+
+
 def classified(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, __t1, __t2 of each row of docs with a key, and class (doc_id, __t1, __t2): the least of its class."""
     spark = docs.sparkSession
