@@ -41,6 +41,15 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
         assert np.flatnonzero(end)[0] < 40
 
 
+def test_rounds_tell_only_those_pairs_apart_that_they_may_replace():
+    bucket = np.repeat(np.arange(6), [5000, 60, 49, 16, 15, 1])
+    rare, may = repair.sifted(bucket, 3, least=16, steep=100)
+    assert sorted(set(bucket[rare].tolist())) == [4, 5] and rare.sum() == 16
+    # All 5125 places of pairs that aren't rare were told apart before; those under a hundredth of 5000 wait.
+    assert may.tolist() == list(range(5060))
+    assert len(repair.sifted(bucket, 3, least=16, steep=10**9)[1]) == 5125
+
+
 def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
     r = np.random.default_rng(5)
     pairs = [(k, k + 1) for k in range(300)] + [(1000 + int(a), 1000 + int(b)) for a, b in r.integers(0, 200, (150, 2))] + [(-5, 900), (6, 6), (None, 3)]

@@ -53,6 +53,15 @@ def alternate(same: np.ndarray) -> np.ndarray:
     return same[(place - np.maximum.accumulate(np.where(heads, place, 0))) % 2 == 1]
 
 
+def sifted(bucket: np.ndarray, bits: int, least: int, steep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places, given their pairs' places in the table: which are rare, and the numbers of those that a round may replace.
+
+    What a place of the table counts bounds its pairs' counts, so all others needn't be told apart in this round.
+    """
+    most = np.bincount(bucket, minlength=1 << bits)
+    return (most < least)[bucket], np.flatnonzero((most >= max(least, int(most.max()) // steep))[bucket])
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, steep: int = STEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, their document-end flags, and rules (left, right), of ids whose ends are flagged.
 
@@ -77,9 +86,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, s
         bits = min(BUCKETS, len(at).bit_length() + 1)
         code = left.astype(np.uint64) << np.uint64(32) | right
         # Another multiplier each round: pairs that share a place of the table now won't share it again.
-        bucket = (code * np.uint64(int(odd.integers(1, 1 << 62)) * 2 + 1) >> np.uint64(64 - bits)).astype(np.int32)
-        may = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
-        open_[at[~may]] = False
+        bucket = (code * np.uint64(int(odd.integers(1, 1 << 62)) * 2 + 1) >> np.uint64(64 - bits)).view(np.int64)
+        rare, may = sifted(bucket, bits, least, steep)
+        open_[at[rare]] = False
         del left, right
         at, code, bucket = at[may], code[may], bucket[may]
         # A place of the table stands for the last pair written there; others that fall into it wait.
